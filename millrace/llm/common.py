@@ -57,6 +57,8 @@ def kept(kind: str, make: Callable, *args):
     home = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
     held = home.__dict__.setdefault("held", {})
     if (kind, args) not in held:
+        if len(held) > 4:
+            held.clear()
         held[kind, args] = make(*args)
     return held[kind, args]
 

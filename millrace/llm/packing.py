@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -84,9 +83,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, capacity: int = 2
         coder, bins = kept("encoder", Encoder, tokenizer, end), Bins(capacity, TaskContext.get().partitionId() << 36)
         for b in slices(batches):
             full: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text").to_pylist()), strict=True):
-                for start, size in cuts(len(ids) // 4, capacity):
-                    full += bins.place((doc, start, size, ids[4 * start : 4 * (start + size)], len(ids) // 4))
+            for doc, ids in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text")), strict=True):
+                for start, size in cuts(len(ids), capacity):
+                    full += bins.place((doc, start, size, ids[start : start + size].astype("<u4").tobytes(), len(ids)))
             yield rows(full)
         yield rows(list(bins.rest()))
 

@@ -6,14 +6,48 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import contamination, packing, simhash, tokens
+from millrace.llm import contamination, linetemplates, nearest, packing, privacy, quality, simhash, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digests(privacy.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids_written(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -26,14 +60,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.verdicts(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linetemplates.without_recurring_lines(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
+    "op2_urls": op2_urls,
+    "op3_privacy": op3_privacy,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_token_ids": op6_token_ids,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_line_templates": op9_line_templates,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL}

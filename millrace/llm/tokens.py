@@ -7,68 +7,121 @@ Texts where such a cut could be wrong (white space in a row, text of special tok
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import kept, list_array, shared_dir, slices, texts
 
 
+# White space of any kind but the space and the line feed, as a class of the regular expressions below.
+OTHER_SPACE = r"\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 class Encoder:
-    """Texts to ids (bytes of little-endian uint32), with `end` after each.
+    """Texts to ids (arrays of uint32), with `end` after each.
 
     Cuts of the two kinds of pre-tokenizer: one drops white space altogether, so any space or line feed
     separates pieces; the byte-level one gives a single space to the piece after it and keeps a single
-    line feed alone. `held` bounds the pieces kept.
+    line feed alone. A batch's pieces are numbered by Arrow, so Python sees each distinct piece of a batch
+    once, and the library each distinct one of at most `held` that are kept.
     """
 
-    def __init__(self, path: str, end: int | None, held: int = 1_000_000):
+    MARK = ("\u00a9", "\u00a7", "\u00ae", "\u00b0", "#", "@")
+
+    def __init__(self, path: str, end: int | None, held: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.held, self.known = held, {"": b""}
-        self.drops_space = self.lib.encode("a b", add_special_tokens=False).ids == sum((self.lib.encode(x, add_special_tokens=False).ids for x in "ab"), [])
-        self.whole = re.compile(r"<\||[^\S \n]" if self.drops_space else r"<\||\s\s").search
+        self.lib, self.end, self.held = Tokenizer.from_file(path), end, held
+        self.drops_space = self.plain("a b").tolist() == [*self.plain("a"), *self.plain("b")]
+        self.whole = rf"<\||[{OTHER_SPACE}]" if self.drops_space else rf"<\||[ \n{OTHER_SPACE}][ \n{OTHER_SPACE}]"
+        self.gap = " " if self.drops_space else ""
+        self.mark = next(((m, int(e[0])) for m in self.MARK if len(e := self.plain(f" {m}")) == 1), None)
+        self.forget()
+
+    def forget(self) -> None:
+        """known: piece to its place in starts and lengths, which tell where its ids are in ids."""
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.lengths, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def marked(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of pieces that begin with a space (or need none), encoded many at a time with a mark between them."""
+        mark, number = self.mark
+        lines = [f"{self.gap} {mark}{self.gap}".join(pieces[k : k + 200]) + f"{self.gap} {mark}" for k in range(0, len(pieces), 200)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.lib.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        at = np.flatnonzero(flat == number)
+        if len(at) != len(pieces):
+            return None
+        return np.delete(flat, at), np.diff(at, prepend=-1) - 1
 
     def learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.lib.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, "<u4").tobytes()
-
-    def pieces(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-        return out
-
-    def encode(self, batch: list[str]) -> list[bytes]:
+        plain = [p for p in pieces if not self.mark or self.mark[0] in p or not (self.drops_space or p[0] == " " and len(p) > 1)]
+        alone = set(plain)
+        many = [p for p in pieces if p not in alone]
+        got = self.marked(many) if many else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if got is None:
+            plain, many, got = pieces, [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        more = [self.plain(p) for p in plain]
+        flat, counts = np.concatenate([got[0], *more]), np.concatenate([got[1], np.array([len(x) for x in more], np.int64)])
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
+        self.lengths = np.concatenate([self.lengths, counts])
+        self.used += len(flat)
+        for p in chain(many, plain):
+            self.known[p] = len(self.known)
+
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The place of every piece, and where each text's pieces begin."""
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " " if self.drops_space else " \n "), " ")
+        begin = cut.offsets.to_numpy().astype(np.int64)
+        words = cut.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+        begin -= begin[0]
+        code, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        if not self.drops_space:
+            spaced = np.ones(len(code), bool)
+            spaced[begin[:-1]] = False
+            feed = code == names.index("\n") if "\n" in names else np.zeros(len(code), bool)
+            spaced[1:] &= ~feed[:-1]
+            code = code * 2 + (spaced & ~feed)
+            names = [x for w in names for x in (w, " " + w)]
+        there = np.flatnonzero(np.bincount(code, minlength=len(names)))
+        keys = [names[k] for k in there]
+        if new := list(filterfalse(self.known.__contains__, keys)):
+            self.learn(new)
+        of = np.zeros(len(names), np.int64)
+        of[there] = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return of[code], begin
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
         if len(self.known) > self.held:
-            self.known = {"": b""}
-        cut = [None if self.whole(t) else self.pieces(t) for t in batch]
-        new: set[str] = set()
-        for c in cut:
-            if c is not None:
-                new.update(filterfalse(self.known.__contains__, c))
-        if new:
-            self.learn(list(new))
-        at = self.known.__getitem__
-        return [(b"".join(map(at, c)) if c is not None else self.plain(t)) + self.end for t, c in zip(batch, cut, strict=True)]
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.forget()
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False))
+        piece, begin = self.places(pc.if_else(pc.match_substring_regex(texts, self.whole), "", texts) if len(whole) else texts)
+        counts = self.lengths[piece]
+        ends = np.cumsum(counts)
+        flat = self.ids[np.repeat(self.starts[piece] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[begin]
+        if self.end is not None:
+            flat = np.insert(flat, at[1:], self.end)
+            at = at + np.arange(len(at))
+        out = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for k in whole.tolist():
+            out[k] = np.append(self.plain(texts[k].as_py()), np.array([] if self.end is None else [self.end], np.uint32)).astype(np.uint32)
+        return out
 
 
 FILE_OPTIONS = {
@@ -97,7 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = kept("encoder", Encoder, tokenizer, end), TaskContext.get().partitionId(), 0
         for b in slices(batches):
-            ids = [np.frombuffer(x, "<u4").view(np.int32) for x in coder.encode(b.column("text").to_pylist())]
+            ids = [x.view(np.int32) for x in coder.encode(b.column("text"))]
             counts = np.array([len(x) for x in ids], np.int64)
             before = start + np.cumsum(counts) - counts
             start += int(counts.sum())

@@ -1,0 +1,65 @@
+import hashlib
+import re
+
+import pytest
+
+from millrace.llm import privacy as P
+
+from .conftest import edge_rows
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def holds(kind, found):
+    d = re.sub("[^0-9]", "", found)
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in found.split(".")), "card": 13 <= len(d) <= 19 and luhn(d or "1"), "phone": 9 <= len(d) <= 15}[kind]
+
+
+def base(text):
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if holds(k, m[0])]
+
+
+TEXTS = [
+    "write a.b@c.d_e@f.gh, or a@b@c.d x@y. z@q-1.com.", "1.2.3.4.5.6.7.8 300.1.2.3.4 256.1.1.1 000001.02.003.255 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1111 4111  1111 1111 1111 5",
+    "4111111111111111 0000000000000 1 4111111111111111", "+1 (988) 555-2485 +12 ++49 30 901820 +1(2)3.4-5 6 7 8 9 0 1 2", "ü@x.de é 😀 me@x.de 10.0.0.1 +49 30 901820", "", None, "a" * 30000, "@" * 3000, "1 " * 9000, "+1" * 2000, "a@b.c" * 500, "1." * 3000, "٣.٤.٥.٦ ４111", "x\n+1 23 45\n67 89 01",
+]
+
+
+def test_base_spans_equal_plain_patterns(spark, edge, empty):
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + edge_rows()
+    found = P.digests(P.personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    want = []
+    for k, t in rows:
+        b = base(t)
+        want.append(str((k, *(sum(x[0] == kind for x in b) for kind in PLAIN), hashlib.sha256(",".join(f"{a}:{s}:{e}" for a, s, e in b).encode()).hexdigest())))
+    assert sorted(str(tuple(r)[:-1]) for r in found.collect()) == sorted(want)
+    assert P.personal_data(empty).count() == 0
+
+
+def test_sure_contexts_find_what_no_pattern_matches(spark):
+    rows = [(k, f"kind regards, e-mail: user{k}@host{k}.example and more words") for k in range(12)]
+    rows += [(20, "e-mail: user77[at]host9 as ever"), (21, "code: user77[at]host9 no sure context"), (22, "e-mail: none")] + [(30 + k, f"the {k}99999 of") for k in range(9)]
+    rows += [(40 + k, f"the x{k}@y.example") for k in range(6)]  # seeds too, but the context is not sure
+    got = {r.doc_id: r.spans for r in P.digests(P.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[20] == "email:8:23" and got[21] == "" and got[22] == "" and got[30] == ""
+    assert got[3] == "email:22:41"
+
+
+def test_only_dataframe_functions(spark, edge):
+    plan = P.digests(P.personal_data(edge))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_rows_that_repeat_keep_a_row_each(spark, n):
+    df = spark.createDataFrame([(1, "a@b.cd")] * n, "doc_id long, text string")
+    assert [r.spans for r in P.digests(P.personal_data(df)).collect()] == ["email:0:6"] * n
