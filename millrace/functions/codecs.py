@@ -6,17 +6,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 ALGORITHMS = ("xchacha20-poly1305", "aes-256-gcm")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def zstd(data: pd.Series) -> pd.Series:
     codec = pa.Codec("zstd")
     return data.map(lambda x: None if x is None else codec.compress(x, asbytes=True))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def unzstd(data: pd.Series) -> pd.Series:
     """The bytes of whole zstd frames; null if they aren't valid."""
     import io

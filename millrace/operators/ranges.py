@@ -45,7 +45,7 @@ def to_load(index: DataFrame, wanted: DataFrame, loaded: DataFrame, key: str, nu
 def saved_state(index: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
     """key, state: one bit for each position, lowest bit first, padded to whole bytes."""
     bits = index.select(key, "pos").join(loaded.select(key, "pos", F.lit(1).alias("on")), [key, "pos"], "left")
-    octet = bits.groupBy(key, F.floor(F.col("pos") / 8).alias("byte")).agg(F.sum(F.coalesce("on", F.lit(0)) * F.shiftleft(F.lit(1), F.pmod("pos", F.lit(8)).cast("int"))).alias("v"))
+    octet = bits.groupBy(key, F.floor(F.col("pos") / 8).alias("byte")).agg(F.sum(F.coalesce("on", F.lit(0)) * F.expr("shiftleft(1, cast(pos % 8 as int))")).alias("v"))
     return octet.groupBy(key).agg(F.expr("unhex(listagg(lpad(hex(v), 2, '0')) within group (order by byte))").alias("state"))
 
 
