@@ -28,17 +28,37 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 REACH = 60
 
 
+NO_SPANS = "array<struct<kind:string,start:int,end:int,found:string>>"
+BLOCK = 512
+
+
+def before(sizes: Column) -> Column:
+    """Sums of the elements before each element. In blocks: growing one array element by element would copy it each time."""
+
+    def run(values: Column, first: Column) -> Column:
+        start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda k: F.slice(sizes, k * BLOCK + 1, BLOCK))
+    firsts = run(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), firsts.alias("f")), lambda x: run(x["b"], x["f"])))
+
+
+def matches(text: Column, pattern: str) -> tuple[Column, Column, Column]:
+    """Of each match of the pattern, in code points: where it starts, the text since the match before, and the match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    sizes = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f")), lambda x: F.char_length(x["g"]) + F.char_length(x["f"]))
+    starts = F.transform(F.arrays_zip(before(sizes).alias("b"), gaps.alias("g")), lambda x: x["b"] + F.char_length(x["g"]))
+    return starts, gaps, found
+
+
 def spans(text: Column, pattern: str, kind: str) -> Column:
     """Array of (kind, start, end, found) of the pattern's matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.char_length(x["found"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), (a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.char_length(x["found"])).alias("end"), x["found"].alias("found")))).alias("out"),
-    )
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+    starts, _, found = matches(text, pattern)
+    one = lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.char_length(x["f"])).alias("end"), x["f"].alias("found"))
+    some = F.transform(F.arrays_zip(starts.alias("s"), found.alias("f")), one)
+    return F.when(F.size(found) > 0, some).otherwise(F.array().cast(NO_SPANS))
 
 
 def digits(found: Column) -> Column:
@@ -75,41 +95,52 @@ def base_spans(text: Column) -> Column:
     parts = []
     for kind in KINDS:
         own = F.filter(spans(text, PATTERNS[kind], kind), holding(kind))
-        parts.append(F.when(need.get(kind, text.rlike("[0-9]")), own).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")))
+        parts.append(F.when(need.get(kind, text.rlike("[0-9]")), own).otherwise(F.array().cast(NO_SPANS)))
     return F.concat(*parts)
 
 
+def seed_kind(value: Column) -> Column:
+    """The kind of the base span that a token holds, or begins (a phone number may have blanks)."""
+    out = F.when(value.rlike(PATTERNS["email"]), "email").when(value.rlike(r"^\+[0-9]"), "phone")
+    whole = {"ip": r"^[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++$", "card": r"^[0-9](?:-?[0-9]){12,18}$"}
+    for kind, pattern in whole.items():
+        out = out.when(value.rlike(pattern) & holds(kind, value), kind)
+    return out
+
+
 def contexts(text: Column) -> Column:
-    """Identifier-like tokens (with a digit or an at sign): start, end, value and the two words before.
+    """Identifier-like tokens (with a digit or an at sign): start, end, value, kind if it is a seed, and the one and
+    the two words before, as far as the identifier-like token before it.
 
     A token like name=value or name:value is the value with name= for a word before it; quotes and closing marks
     at its edges aren't part of the value.
     """
-    tokens = spans(text, TOKEN, "token")
+    starts, gaps, found = matches(text, TOKEN)
+    last = F.concat(F.array(F.lit("")), F.slice(found, 1, F.size(found) - 1))
 
     def one(x: Column) -> Column:
-        lead = F.regexp_extract(x["found"], r"^([^=:0-9@]{1,30}[=:])?[\"'(<\[]*", 0)
-        value = F.regexp_replace(F.substring(x["found"], F.char_length(lead) + 1, F.char_length(x["found"])), r"[\"')>\].,;:!?]{1,9}$", "")
-        start = x["start"] + F.char_length(lead)
-        ahead = F.lower(F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))))
+        lead = F.regexp_extract(x["f"], r"^([^=:0-9@]{1,30}[=:])?[\"'(<\[]*", 0)
+        value = F.regexp_replace(F.substring(x["f"], F.char_length(lead) + 1, F.char_length(x["f"])), r"[\"')>\].,;:!?]{1,9}$", "")
+        start = x["s"] + F.char_length(lead)
+        ahead = F.lower(F.right(F.concat(F.right(x["l"], F.lit(REACH)), F.right(x["g"], F.lit(REACH))), F.lit(REACH)))
         words = F.filter(F.split(F.regexp_replace(F.concat_ws(" ", ahead, F.lower(F.regexp_extract(lead, r"^[^=:]*[=:]", 0))), "[0-9]", "9"), r"\s+"), lambda w: w != "")
-        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), F.lower(value).alias("value"), F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ").alias("two"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("one"))
+        two = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
+        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), F.lower(value).alias("value"), seed_kind(value).alias("kind"), two.alias("two"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("one"))
 
-    return F.filter(F.transform(tokens, one), lambda x: x["end"] - x["start"] >= 5)
+    some = F.transform(F.arrays_zip(starts.alias("s"), gaps.alias("g"), found.alias("f"), last.alias("l")), one)
+    return F.when(F.size(found) > 0, F.filter(some, lambda x: x["end"] - x["start"] >= 5))
 
 
 def bootstrapped(seen: DataFrame, rounds: int = 3, sure: float = 0.8, seeds: int = 5) -> DataFrame:
-    """key, kind, start, end of what high-confidence patterns find beyond the base spans.
+    """key, kind, start, end of what high-confidence patterns find among the tokens of documents (key, tokens).
 
-    seen: key, spans (base) and tokens. Nodes are patterns (one or two words before a slot) and instances (the
-    token's value). A token that a base span covers is a seed of its kind with score 1. In each round a pattern's
-    score for a kind is the mean score of its instances, smoothed by two instances of score 0, and an instance
-    takes the best score of its patterns that reach one half. A pattern is sure with a score of `sure` and at
-    least `seeds` different seeds. All tables are aggregates over (pattern, instance), never pairs of instances.
+    Nodes are patterns (one or two words before a slot) and instances (the token's value). A token that holds a
+    base span is a seed of its kind with score 1. In each round a pattern's score for a kind is the mean score of
+    its instances, smoothed by two instances of score 0, and an instance takes the best score of its patterns
+    that reach one half. A pattern is sure with a score of `sure` and at least `seeds` different seeds. All tables
+    are aggregates over (pattern, instance), never pairs of instances.
     """
-    each = seen.select("key", "spans", F.explode("tokens").alias("t"))
-    over = F.filter("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    each = each.select("key", "t", F.try_element_at(over, F.lit(1))["kind"].alias("kind"))
+    each = seen.select("key", F.explode("tokens").alias("t")).select("key", "t", F.col("t.kind").alias("kind"))
     each = each.withColumn("pattern", F.explode(F.array_distinct(F.array(F.concat(F.lit("1 "), F.col("t.one")), F.concat(F.lit("2 "), F.col("t.two")))))).where("t.one <> ''")
     edges = stored(each.groupBy("pattern", F.col("t.value").alias("value")).agg(F.max("kind").alias("kind")), "contexts")
     scores = edges.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
@@ -134,11 +165,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     row each; a null doc_id is treated like any other. An empty table gives no rows. Other columns are left out.
     """
     rows = texts(docs)
-    seen = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), base_spans(F.col("text")).alias("spans"), F.when(F.col("text").rlike("[0-9@]"), contexts(F.col("text"))).otherwise(F.array()).alias("tokens"))
+    seen = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), base_spans(F.col("text")).alias("spans"), F.when(F.col("text").rlike("[0-9@]"), contexts(F.col("text"))).alias("tokens"))
     seen = stored(seen, "personal")
-    new = bootstrapped(seen.where("size(tokens) > 0"))
-    per = new.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
-    return seen.select("doc_id", "key", "spans").join(per, "key", "left").select("doc_id", "spans", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("added"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    per = bootstrapped(seen).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    clear = F.filter("added", lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
+    return seen.select("doc_id", "key", "spans").join(per, "key", "left").select("doc_id", "spans", F.when(F.col("added").isNotNull(), clear).otherwise(none).alias("added"))
 
 
 def joined(spans: Column) -> Column:
