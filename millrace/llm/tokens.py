@@ -36,7 +36,7 @@ class Encoder:
 
     MARK = ("\u00a9", "\u00a7", "\u00ae", "\u00b0", "#", "@")
 
-    def __init__(self, path: str, end: int | None, held: int = 600_000):
+    def __init__(self, path: str, end: int | None, held: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib, self.end, self.held = Tokenizer.from_file(path), end, held
@@ -47,8 +47,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """known: piece to its place in starts and lengths, which tell where its ids are in ids."""
+        """known: piece to its row of starts and lengths, which tell where its ids are in ids."""
         self.known: dict[str, int] = {"": 0}
+        self.rows = 1
         self.starts, self.lengths, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def plain(self, text: str) -> np.ndarray:
@@ -72,37 +73,67 @@ class Encoder:
         if got is None:
             plain, many, got = pieces, [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         more = [self.plain(p) for p in plain]
-        flat, counts = np.concatenate([got[0], *more]), np.concatenate([got[1], np.array([len(x) for x in more], np.int64)])
+        self.keep(np.concatenate([got[0], *more]), np.concatenate([got[1], np.array([len(x) for x in more], np.int64)]))
+        for p in chain(many, plain):
+            self.known[p] = self.rows
+            self.rows += 1
+
+    def gathered(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after another."""
+        counts = np.take(self.lengths, rows)
+        ends = np.cumsum(counts)
+        at = np.repeat(np.take(self.starts, rows) - (ends - counts), counts)
+        at += np.arange(len(at))
+        return np.take(self.ids, at)
+
+    def keep(self, flat: np.ndarray, counts: np.ndarray) -> None:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
         self.lengths = np.concatenate([self.lengths, counts])
         self.used += len(flat)
-        for p in chain(many, plain):
-            self.known[p] = len(self.known)
+
+    def rows_of(self, codes: np.ndarray, names: list[str]) -> np.ndarray:
+        """The row of every code, codes being numbers into names; pieces that are new are learnt."""
+        there = np.flatnonzero(np.bincount(codes, minlength=len(names)))
+        keys = [names[k] for k in there]
+        if new := list(filterfalse(self.known.__contains__, keys)):
+            self.learn(new)
+        of = np.zeros(len(names), np.int64)
+        of[there] = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return of[codes]
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The place of every piece, and where each text's pieces begin."""
+        """The row of every piece, and where each text's pieces begin.
+
+        A piece counts as two: a word and the marks that end it, which are always encoded apart; either may be
+        empty. The tokenizer that drops white space lowers letters, so ASCII words are lowered here.
+        """
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " " if self.drops_space else " \n "), " ")
         begin = cut.offsets.to_numpy().astype(np.int64)
-        words = cut.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+        pieces = cut.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
         begin -= begin[0]
-        code, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        code, names = pieces.indices.to_numpy(), pieces.dictionary
+        bare = pc.utf8_rtrim(names, ",.;:!?*%$#&")
+        marked = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(names)), pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"))
+        bare = pc.if_else(marked, bare, names)
+        ends = pc.if_else(marked, pc.replace_substring_regex(names, r"(?s)^.*[\p{L}\p{N}]", ""), "").dictionary_encode()
+        if self.drops_space:
+            bare = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare)
+        words = bare.dictionary_encode()
+        word, of = words.indices.to_numpy().astype(np.int64)[code], words.dictionary.to_pylist()
         if not self.drops_space:
-            spaced = np.ones(len(code), bool)
-            spaced[begin[:-1]] = False
-            feed = code == names.index("\n") if "\n" in names else np.zeros(len(code), bool)
+            spaced = np.ones(len(word), bool)
+            spaced[begin[:-1][begin[:-1] < len(word)]] = False
+            feed = word == of.index("\n") if "\n" in of else np.zeros(len(word), bool)
             spaced[1:] &= ~feed[:-1]
-            code = code * 2 + (spaced & ~feed)
-            names = [x for w in names for x in (w, " " + w)]
-        there = np.flatnonzero(np.bincount(code, minlength=len(names)))
-        keys = [names[k] for k in there]
-        if new := list(filterfalse(self.known.__contains__, keys)):
-            self.learn(new)
-        of = np.zeros(len(names), np.int64)
-        of[there] = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        return of[code], begin
+            word = word * 2 + (spaced & ~feed)
+            of = [x for w in of for x in (w, " " + w)]
+        rows = np.empty(2 * len(code), np.int64)
+        rows[0::2] = self.rows_of(word, of)
+        rows[1::2] = self.rows_of(ends.indices.to_numpy().astype(np.int64)[code], ends.dictionary.to_pylist())
+        return rows, 2 * begin
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         if not len(texts):
@@ -113,7 +144,7 @@ class Encoder:
         piece, begin = self.places(pc.if_else(pc.match_substring_regex(texts, self.whole), "", texts) if len(whole) else texts)
         counts = self.lengths[piece]
         ends = np.cumsum(counts)
-        flat = self.ids[np.repeat(self.starts[piece] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = self.gathered(piece)
         at = np.concatenate([[0], ends])[begin]
         if self.end is not None:
             flat = np.insert(flat, at[1:], self.end)
@@ -149,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = kept("encoder", Encoder, tokenizer, end), TaskContext.get().partitionId(), 0
-        for b in slices(batches):
+        for b in slices(batches, 8 << 20):
             ids = [x.view(np.int32) for x in coder.encode(b.column("text"))]
             counts = np.array([len(x) for x in ids], np.int64)
             before = start + np.cumsum(counts) - counts
