@@ -91,6 +91,57 @@ def test_codecs(spark):
     codecs.check_options(True, None, "0a" * 32)
 
 
+def test_xchacha(spark):
+    from millrace.functions import xchacha
+
+    text = b"Ladies and Gentlemen of the class of '99: If I could offer you only one tip for the future, sunscreen would be it."
+    out = xchacha.seal(bytes(range(0x80, 0xA0)), text, bytes(range(0x40, 0x58)), bytes.fromhex("50515253c0c1c2c3c4c5c6c7"))
+    assert out[24:40].hex() == "bd6d179d3e83d43b9576579493c0e939" and out[-16:].hex() == "c0875924c1c7987947deafd8780acf49"
+    key = bytes(range(32))
+    for n in (0, 1, 63, 64, 65, 5000):
+        data = os.urandom(n)
+        box = xchacha.seal(key, data)
+        assert xchacha.unseal(key, box) == data and xchacha.unseal(bytes(32), box) is None and xchacha.unseal(key, box[:-1]) is None
+    df = spark.createDataFrame([(b"hello" * 40,), (b"",), (None,)], "x binary")
+    both = df.select("x", codecs.from_storage(codecs.to_storage(F.col("x"), True, key, "xchacha20-poly1305"), True, key, "xchacha20-poly1305").alias("y"))
+    assert all(r.x == r.y for r in both.collect())
+
+
+def test_chunk_folders(spark, tmp_path):
+    from millrace.sources.folders import read_chunks, write_chunks
+
+    chunks = spark.createDataFrame([(sha(b"%d" % k * 50), b"%d" % k * 50) for k in range(20)], "id string, payload binary")
+    for compress in (True, False):
+        path = str(tmp_path / f"s{compress}")
+        assert write_chunks(chunks.repartition(3), path, compress).agg(F.sum("written")).first()[0] == 20
+        assert write_chunks(chunks, path, compress).agg(F.sum("written")).first()[0] == 0
+        assert sorted(map(tuple, read_chunks(spark, path, compress).select("id", "payload").collect())) == sorted(map(tuple, chunks.collect()))
+        assert read_chunks(spark, path, not compress).count() == 0
+    name = next((tmp_path / "sFalse").glob("*/*"))
+    assert name.parent.name == name.name[:4]
+    name.write_bytes(b"damaged")
+    assert [r.id for r in stores.invalid(read_chunks(spark, str(tmp_path / "sFalse"), False)).collect()] == [name.name]
+
+
+def test_local_trees(spark, tmp_path):
+    from millrace.sources.folders import local_nodes, write_nodes
+
+    root = tmp_path / "t"
+    (root / "b" / "c").mkdir(parents=True)
+    (root / "b" / "f").write_bytes(b"x" * 10)
+    (root / "a").symlink_to("b/f")
+    nodes = local_nodes(str(root))
+    assert [(n.path, n.kind) for n in nodes] == [(".", "dir"), ("a", "link"), ("b", "dir"), ("b/c", "dir"), ("b/f", "file")]
+    write_nodes(nodes, str(tmp_path / "u"))
+    assert [(n.path, n.kind, n.mode, n.mtime_ns, n.data, n.target) for n in local_nodes(str(tmp_path / "u"))] == [(n.path, n.kind, n.mode, n.mtime_ns, n.data, n.target) for n in nodes]
+    assert {n.mtime_ns for n in local_nodes(str(root), no_time=True)} == {0}
+    for bad in ("../x", "/etc/x", "a/../../x"):
+        with pytest.raises(fm.FormatError):
+            write_nodes([fm.Node(bad, "file", 0o100644, data=b"")], str(tmp_path / "v"))
+    with pytest.raises(OSError):  # nothing is written through a link
+        write_nodes([fm.Node("l", "link", 0o120777, target="/tmp"), fm.Node("l/x", "file", 0o100644, data=b"")], str(tmp_path / "w"))
+
+
 def tree():
     return [fm.Node(".", "dir", 0o40755, 1, 2, 10**18 + 5), fm.Node("b", "file", 0o100644, 0, 0, 7, {"user.b": b"2", "user.a": b"1"}, b"data"), fm.Node("a", "dir", 0o40700), fm.Node("a/x", "link", 0o120777, target="../b"), fm.Node("a/d", "device", 0o20600, major=4, minor=5), fm.Node("a/e", "file", 0o100600, data=b""), fm.Node("a/sub", "dir", 0o40700), fm.Node("c", "file", 0o100600, data=b"z")]
 
