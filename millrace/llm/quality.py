@@ -24,7 +24,7 @@ MANY = np.uint32(2654435761)
 class Hashes(dict):
     """crc32 of words; at most `most` are kept."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -63,7 +63,7 @@ class Lexicon:
 class Marks(dict):
     """Token to its bits; at most `most` tokens are kept."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 500_000):
+    def __init__(self, lexicon: Lexicon, most: int = 300_000):
         self.lexicon, self.most = lexicon, most
 
     def __missing__(self, token: str) -> int:
@@ -105,7 +105,8 @@ def mine(rows: list[tuple[set[str], int]], share: float = 0.01, ratio: float = 2
 
     Toxic documents that are copies of one another (by the share of equal minima of hashed words) count once, so
     that the rare words of a copied document don't pass for a lexicon: an entry must occur in at least 3 and in
-    `share` of the groups, and `ratio` times as often as in documents that aren't toxic.
+    `share` of the groups, and `ratio` times as often as in documents that aren't toxic. A stem must gather several
+    words.
     """
     toxic = [w for w, y in rows if y and w]
     clean = [w for w, y in rows if not y]
@@ -128,7 +129,14 @@ def mine(rows: list[tuple[set[str], int]], share: float = 0.01, ratio: float = 2
     other = Counter(x for w in clean for x in parts(w) if x in held)
     good = {x for x, n in held.items() if n / max(groups, 1) >= ratio * (other[x] + 0.5) / (len(clean) + 1)}
     words = sorted(x[1:] for x in good if x[0] == "=")
-    return words, sorted(x for x in good if x[0] != "=" and not any(x[:k] in good for k in STEMS if k < len(x)))
+    longer: dict[str, int] = defaultdict(int)  # of a stem, the most groups that one longer entry has
+    for x in good:
+        bare = x.removeprefix("=")
+        for k in STEMS:
+            if k < len(bare):
+                longer[bare[:k]] = max(longer[bare[:k]], held[x])
+    stems = {x for x in good if x[0] != "=" and longer[x] < 0.95 * held[x]}  # else the longer entry says it all
+    return words, sorted(x for x in stems if not any(x[:k] in stems for k in STEMS if k < len(x)))
 
 
 def parts(words: Iterable[str]) -> set[str]:

@@ -79,9 +79,9 @@ def test_copies_do_not_make_a_lexicon():
     r = random.Random(1)
     clean = [({f"w{r.randrange(4000)}" for _ in range(60)}, 0) for _ in range(300)]
     copied = ({f"q{k}" for k in range(60)}, 1)
-    toxic = [({f"w{r.randrange(4000)}" for _ in range(60)} | {"meanword"}, 1) for _ in range(20)]
+    toxic = [({f"w{r.randrange(4000)}" for _ in range(60)} | {"meanword", f"grobb{chr(97 + k)}{chr(98 + k)}"}, 1) for k in range(20)]
     words, stems = T.mine(clean + toxic + [copied] * 50)
-    assert words == ["meanword"] and "mean" in stems and not any(w[0] == "q" for w in words + stems)
+    assert words == ["meanword"] and stems == ["grobb"]
 
 
 def test_trees_and_calibration():
