@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import codecs
 from millrace.functions.rolling import Sizes
 from millrace.operators import archive, chunking, index, info, ranges, seeds, stores
-from millrace.sources.formats import Node, decode_archive
-from millrace.sources.readers import NODE_SCHEMA, node_row
+from millrace.sources.formats import Node
 
 STORE_SCHEMA = "id string, size long, stored_size long, data binary, generation int"
 INDEX_SCHEMA = "name string, pos long, id string, start long, size long"
@@ -187,15 +186,7 @@ class Engine:
     def untar(self, *names: str) -> DataFrame:
         """The nodes of stored archives."""
 
-        def nodes(batches):
-            import pandas as pd
-
-            columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-            for b in batches:
-                rows = [node_row(name, n) for name, data in zip(b["name"], b["data"], strict=True) for n in decode_archive(bytes(data))]
-                yield pd.DataFrame(rows, columns=columns)
-
-        return self.extract(*names).mapInPandas(nodes, NODE_SCHEMA)
+        return archive.unpacked(self.extract(*names), "name")
 
 
 def mtree(nodes: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import mtree_name
-from millrace.sources.formats import Node, encode_archive, heap_order, name_hash
+from millrace.sources.formats import Node, decode_archive, encode_archive, heap_order, name_hash
+from millrace.sources.readers import NODE_SCHEMA, node_row
 
 HEADER = "#mtree v1.0"
+NODE_COLUMNS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
 
 def mtree_lines(nodes: DataFrame) -> Column:
@@ -34,6 +36,19 @@ def archives(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.groupBy(key).applyInArrow(pack, f"{key} {dict(nodes.dtypes)[key]}, data binary")
 
 
+def unpacked(packed: DataFrame, key: str) -> DataFrame:
+    """The nodes of archives (key, data); `file` is the key as text."""
+
+    def nodes(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [node_row(str(name), n) for name, data in zip(b[key], b["data"], strict=True) for n in decode_archive(bytes(data))]
+            yield pd.DataFrame(rows, columns=NODE_COLUMNS)
+
+    return packed.select(key, "data").mapInPandas(nodes, NODE_SCHEMA)
+
+
 def goodbye_order(names: DataFrame, key: str) -> DataFrame:
     """key, name, hash (signed), place: where each name of a directory stands in its lookup table."""
     import pyarrow as pa

@@ -41,10 +41,11 @@ def batched_places(parts: list[bytes], sizes: Sizes) -> list[list[int]]:
     return [(found[a:b] - s).tolist() for a, b, s in zip(np.concatenate([[0], cuts[:-1]]), cuts, begins, strict=True)]
 
 
-def chunk_index(df: DataFrame, sizes: Sizes, ids: bool = True, payload: bool = False) -> DataFrame:
+def chunk_index(df: DataFrame, sizes: Sizes, ids: bool = True, payload: bool = False, begin: int = 0) -> DataFrame:
     """The key columns of df (all but data), then pos, start, size (longs), id (hex digest) and payload of every chunk.
 
-    One Arrow pass, no shuffle. An empty blob has no chunks. `ids=False` gives boundaries only.
+    One Arrow pass, no shuffle. An empty blob has no chunks. `ids=False` gives boundaries only. With `begin`,
+    chunking starts at that byte, as if the blob began there; starts still count from the blob's first byte.
     """
     keys = [f for f in df.schema.fields if f.name != "data"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["pos long", "start long", "size long"] + ["id string"] * ids + ["payload binary"] * payload)
@@ -55,20 +56,20 @@ def chunk_index(df: DataFrame, sizes: Sizes, ids: bool = True, payload: bool = F
             step = max(1, int(batch.num_rows * (8 << 20) / max(batch.get_total_buffer_size(), 1)))
             for at in range(0, batch.num_rows, step):
                 b = batch.slice(at, step)
-                data = b.column("data").to_pylist()
+                data = [d[begin:] for d in b.column("data").to_pylist()]
                 row, pos, start, size, names_of, parts = [], [], [], [], [], []
                 for k, (d, found) in enumerate(zip(data, batched_places(data, sizes), strict=True)):
-                    begin = 0
+                    last = 0
                     for n, end in enumerate(cut(len(d), found, sizes)):
                         row.append(k)
                         pos.append(n)
-                        start.append(begin)
-                        size.append(end - begin)
+                        start.append(begin + last)
+                        size.append(end - last)
                         if ids:
-                            names_of.append(digest(d[begin:end], sizes.digest))
+                            names_of.append(digest(d[last:end], sizes.digest))
                         if payload:
-                            parts.append(d[begin:end])
-                        begin = end
+                            parts.append(d[last:end])
+                        last = end
                 take = pa.array(row, pa.int64())
                 columns = [b.column(c).take(take) for c in names] + [pa.array(x, pa.int64()) for x in (pos, start, size)]
                 columns += [pa.array(names_of, pa.string())] * ids + [pa.array(parts, pa.binary())] * payload

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.rolling import Sizes
+from millrace.sources.formats import SHA512_256, decode_index, encode_index
+
 
 def numbered(chunks: DataFrame, key: str, *order: str) -> DataFrame:
     """One index for each key from the chunks of several blobs laid end to end in `order`: pos and start count on."""
@@ -47,3 +50,32 @@ def invalid_chunks(index: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
 def valid_name(name: Column) -> Column:
     """An index name that stays in its store: not empty, no dots alone, no separators."""
     return ~name.isin("", ".", "..") & ~name.contains("/") & ~name.contains("\\")
+
+
+def to_files(index: DataFrame, sizes: Sizes) -> DataFrame:
+    """name and data: the bytes of an index file for each name."""
+    import pyarrow as pa
+
+    flags = SHA512_256 if sizes.digest == "sha512_256" else 0
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        data = encode_index(list(zip(t.column("id").to_pylist(), t.column("size").to_pylist(), strict=True)), sizes.least, sizes.average, sizes.most, flags)
+        return pa.table([t.column("name").slice(0, 1), pa.array([data], pa.binary())], ["name", "data"])
+
+    return index.select("name", "pos", "id", "size").groupBy("name").applyInArrow(pack, "name string, data binary")
+
+
+def from_files(files: DataFrame, sizes: Sizes) -> DataFrame:
+    """The rows of index files (name, data), every field of the format checked."""
+    import pyarrow as pa
+
+    def unpack(batches):
+        for b in batches:
+            for name, data in zip(b.column("name").to_pylist(), b.column("data").to_pylist(), strict=True):
+                chunks = decode_index(data, sizes.digest)[1]
+                ids, starts, counts = zip(*chunks, strict=True) if chunks else ((), (), ())
+                n = len(ids)
+                yield pa.record_batch([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(ids, pa.string()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], ["name", "pos", "id", "start", "size"])
+
+    return files.select("name", "data").mapInArrow(unpack, "name string, pos long, id string, start long, size long")

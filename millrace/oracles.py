@@ -10,12 +10,12 @@ def rotl(v: str, k: str) -> str:
     return f"CASE WHEN {k} = 0 THEN {v} ELSE ((({v}) << ({k})) & {MASK}) | (({v}) >> (32 - ({k}))) END"
 
 
-def chunk_ctes(sizes: Sizes) -> str:
-    """CTEs ch(source, doc_id, pos, start, size, id) and cand(doc_id, i): all documents, chunked."""
+def chunk_ctes(sizes: Sizes, begin: int = 0) -> str:
+    """CTEs ch(source, doc_id, pos, start, size, id) and cand(doc_id, i): all documents, chunked from byte `begin` on."""
     table = ", ".join(map(str, sizes.table))
     least, most, d = sizes.least, sizes.most, sizes.divisor
     return f"""
-  blob AS (SELECT doc_id, source, lang, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS len FROM documents),
+  blob AS (SELECT doc_id, source, lang, substr(hex(encode(text)), {2 * begin + 1}) AS h, CAST(greatest(strlen(text) - {begin}, 0) AS BIGINT) AS len FROM documents),
   octet AS (SELECT doc_id, unnest(range(len)) AS i, unnest(regexp_extract_all(h, '..')) AS o FROM blob),
   tab AS (SELECT upper(lpad(to_hex(k), 2, '0')) AS o, v FROM (SELECT unnest(range(256)) AS k, unnest([{table}]) AS v)),
   turned AS (SELECT doc_id, i, {rotl("CAST(v AS BIGINT)", "(32 - i % 32) % 32")} AS u FROM octet JOIN tab USING (o)),
@@ -28,7 +28,7 @@ def chunk_ctes(sizes: Sizes) -> str:
     FROM walk w LEFT JOIN cand c ON c.doc_id = w.doc_id AND c.i >= w.stop + {least} AND c.i < w.stop + {most}
     WHERE w.stop < w.len GROUP BY w.doc_id, w.len, w.pos, w.stop
   ),
-  ch AS MATERIALIZED (SELECT b.source, b.lang, w.doc_id, w.pos, w.start, w.stop - w.start AS size, sha256(unhex(substr(b.h, CAST(2 * w.start + 1 AS BIGINT), CAST(2 * (w.stop - w.start) AS BIGINT)))) AS id
+  ch AS MATERIALIZED (SELECT b.source, b.lang, w.doc_id, w.pos, w.start + {begin} AS start, w.stop - w.start AS size, sha256(unhex(substr(b.h, CAST(2 * w.start + 1 AS BIGINT), CAST(2 * (w.stop - w.start) AS BIGINT)))) AS id
          FROM walk w JOIN blob b USING (doc_id) WHERE w.pos >= 0)"""
 
 
@@ -82,6 +82,9 @@ SELECT t.source, t.total, t.size, u.* EXCLUDE (source) FROM
     return {
         "chunk_boundaries": f"{ch} SELECT doc_id, pos, start, size FROM ch",
         "chunk_index": f"{ch} SELECT doc_id, pos, start, size, id FROM ch",
+        "chunk_advance": f"WITH RECURSIVE{chunk_ctes(sizes, 100)} SELECT doc_id, pos, start, size, id FROM ch",
+        "index_file_roundtrip": f"{idx} SELECT source AS name, pos, id, start, size FROM idx",
+        "archive_roundtrip": "SELECT regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host, 'p' || page_id AS path, CAST(strlen(html) AS BIGINT) AS size, sha256(encode(html)) AS digest FROM pages",
         "chunk_candidates": f"{ch} SELECT b.doc_id, count(c.i) AS n_candidates FROM blob b LEFT JOIN cand c USING (doc_id) GROUP BY b.doc_id",
         "chunk_size_histogram": f"{ch} SELECT size // 64 AS bucket, count(*) AS n_chunks, CAST(sum(size) AS BIGINT) AS bytes FROM ch GROUP BY 1",
         "dedup_summary": f"{ch} SELECT source, count(*) AS n_chunks, count(DISTINCT id) AS n_distinct, CAST(sum(size) AS BIGINT) AS bytes FROM ch GROUP BY source",

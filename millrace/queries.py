@@ -71,6 +71,29 @@ def chunk_index(spark, sf_dir):
     return chunks(spark, sf_dir)
 
 
+@query
+def chunk_advance(spark, sf_dir):
+    return chunking.chunk_index(document_blobs(spark, sf_dir), SIZES, begin=100)
+
+
+@query
+def index_file_roundtrip(spark, sf_dir):
+    """Every source's index as the bytes of an index file, read back."""
+    return index.from_files(index.to_files(source_index(spark, sf_dir).withColumnRenamed("source", "name"), SIZES), SIZES)
+
+
+@query
+def archive_roundtrip(spark, sf_dir):
+    """Every host's pages packed into an archive, which is read back."""
+    host = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
+    file = {"kind": F.lit("file"), "mode": F.lit(0o100644), "data": F.col("html").cast("binary"), "path": F.concat(F.lit("p"), F.col("page_id"))}
+    pages = table(spark, sf_dir, "pages").select(host.alias("file"), *(v.alias(k) for k, v in file.items()))
+    roots = pages.select("file").distinct().select("file", F.lit("dir").alias("kind"), F.lit(0o40755).alias("mode"), F.lit(None).cast("binary").alias("data"), F.lit(".").alias("path"))
+    nodes = pages.union(roots).withColumns({c: F.lit(0).cast("long") for c in ("uid", "gid", "mtime_ns", "major", "minor")} | {"target": F.lit(None).cast("string"), "xattrs": F.lit(None).cast("map<string,binary>")})
+    back = archive.unpacked(archive.archives(nodes, "file"), "file")
+    return back.where("kind = 'file'").select(F.col("file").alias("host"), "path", "size", F.sha2("data", 256).alias("digest"))
+
+
 @query
 def chunk_candidates(spark, sf_dir):
     return chunking.candidate_counts(document_blobs(spark, sf_dir), SIZES)
