@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +87,7 @@ class Block:
         a, b = self.lists.get(term, (0, 0))
         return self.places[a:b]
 
-    def phrase(self, terms: tuple[int, ...]) -> np.ndarray:
+    def phrase(self, terms: Sequence[int]) -> np.ndarray:
         """Where the phrase begins: the list of its rarest term, cut down by the others' offset-adjusted lists."""
         order = sorted(range(len(terms)), key=lambda k: self.count(terms[k]))
         if not self.count(terms[order[0]]):
@@ -103,7 +102,7 @@ class Block:
             found = found[there[np.minimum(at, len(there) - 1)] == found + k]
         return found
 
-    def near(self, terms: tuple[int, ...], within: int) -> np.ndarray:
+    def near(self, terms: Sequence[int], within: int) -> np.ndarray:
         """Places of the rarest term such that all terms stand within `within` words after or before it, in its document."""
         order = sorted(set(terms), key=self.count)
         if not order or not self.count(order[0]):
@@ -147,7 +146,10 @@ def item_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple]]:
 
 def search(index: DataFrame, windows: dict, number: dict[bytes, int]) -> DataFrame:
     """For every document of the index: its words, the spans of words that windows cover, and the items they come from."""
-    by_terms: dict[tuple[int, ...], list] = {tuple(number[w] for w in ws): sorted(items) for ws, items in windows.items()}
+    by_length: dict[int, list] = defaultdict(list)
+    for ws, items in windows.items():
+        by_length[len(ws)].append((tuple(number[w] for w in ws), sorted(items)))
+    groups = [(np.array([t for t, _ in own], np.int32), [items for _, items in own]) for own in by_length.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,12 +160,15 @@ def search(index: DataFrame, windows: dict, number: dict[bytes, int]) -> DataFra
         b = Block(row)
         cover = np.zeros(b.length + 1, np.int32)
         items: dict[int, set] = defaultdict(set)
-        for terms, its in by_terms.items():
-            if all(map(b.lists.__contains__, terms)) and len(at := b.phrase(terms)):
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + len(terms), -1)
-                for d in set(b.document(at).tolist()):
-                    items[d].update(its)
+        counts = np.zeros(len(number) + 1, np.int64)
+        counts[row["terms"]] = np.diff(row["ends"], prepend=0)
+        for terms, its in groups:
+            for k in np.flatnonzero(counts[terms].min(1)).tolist():  # windows all of whose terms the block has
+                if len(at := b.phrase(terms[k].tolist())):
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + terms.shape[1], -1)
+                    for d in set(b.document(at).tolist()):
+                        items[d].update(its[k])
         hit = np.cumsum(cover[:-1]) > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
         starts, ends = edge[::2], edge[1::2]
@@ -244,20 +249,15 @@ def find(docs: DataFrame, phrase: str, within: int | None = None) -> DataFrame:
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """The digest columns of `contamination`: contaminated from one word in twenty on."""
+    """The digest columns of `contamination`: contaminated from one word in twenty on.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = b.column("items").to_pylist()
-            hit = [sum(s[1::2]) - sum(s[::2]) for s in b.column("spans").to_pylist()]
-            sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-            n = b.column("n_words").to_pylist()
-            yield pa.record_batch(
-                [b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)])],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    Built-in functions, so that a task keeps one Python worker, the index search's.
+    """
+    signed = F.transform("spans", lambda x, k: F.when(k % 2 == 0, -x).otherwise(x).cast("long"))
+    hit = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
