@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -37,12 +38,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand Python batches of a few MB: 10,000 long texts at once need not fit in a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30}
+    size = int(now[:-1]) << units[now[-1]] if now[-1:] in units else int(now)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator needs, a null text as the empty one."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", *more, F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what they no longer use others need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `most` bytes; a longer row stays whole."""
     for batch in batches:
         if not batch.num_rows:
@@ -50,15 +74,18 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
         step = max(1, int(batch.num_rows * most / max(batch.get_total_buffer_size(), 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        give_back()
 
 
 def kept(kind: str, make: Callable, *args):
-    """make(*args), kept by the Python worker from one task to the next. It must not change what a task returns."""
+    """make(*args), kept by the Python worker from one task to the next; only the last one made is.
+
+    It must not change what a task returns.
+    """
     home = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
     held = home.__dict__.setdefault("held", {})
     if (kind, args) not in held:
-        if len(held) > 4:
-            held.clear()
+        held.clear()
         held[kind, args] = make(*args)
     return held[kind, args]
 

@@ -36,7 +36,7 @@ class Encoder:
 
     MARK = ("\u00a9", "\u00a7", "\u00ae", "\u00b0", "#", "@")
 
-    def __init__(self, path: str, end: int | None, held: int = 800_000):
+    def __init__(self, path: str, end: int | None, held: int = 350_000):
         from tokenizers import Tokenizer
 
         self.lib, self.end, self.held = Tokenizer.from_file(path), end, held
@@ -47,10 +47,20 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """known: piece to its row of starts and lengths, which tell where its ids are in ids."""
-        self.known: dict[str, int] = {"": 0}
-        self.rows = 1
-        self.starts, self.lengths, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+        """Keep the pieces that came up in several batches since the last time, at most three fifths of `held`.
+
+        known: piece to its row of starts, lengths and hits; the first two tell where its ids are in ids.
+        """
+        old, least = getattr(self, "known", {}), 2
+        while old and (self.hits >= least).sum() > 0.6 * self.held:
+            least *= 2
+        names = [k for k, r in old.items() if r and self.hits[r] >= least]
+        rows = np.array([0, *(old[k] for k in names)], np.int64)
+        ids, lengths = (self.gathered(rows), self.lengths[rows]) if old else (np.zeros(0, np.uint32), np.zeros(1, np.int32))
+        self.known: dict[str, int] = {k: n for n, k in enumerate(["", *names])}
+        self.rows, self.used, self.ids, self.lengths = len(names) + 1, len(ids), ids, lengths
+        self.starts = (np.cumsum(lengths) - lengths).astype(np.int32)
+        self.hits = np.zeros(len(lengths), np.int32)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -81,17 +91,18 @@ class Encoder:
     def gathered(self, rows: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after another."""
         counts = np.take(self.lengths, rows)
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts, dtype=np.int32)
         at = np.repeat(np.take(self.starts, rows) - (ends - counts), counts)
-        at += np.arange(len(at))
+        at += np.arange(len(at), dtype=np.int32)
         return np.take(self.ids, at)
 
     def keep(self, flat: np.ndarray, counts: np.ndarray) -> None:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
-        self.lengths = np.concatenate([self.lengths, counts])
+        self.starts = np.concatenate([self.starts, (self.used + np.cumsum(counts) - counts).astype(np.int32)])
+        self.lengths = np.concatenate([self.lengths, counts.astype(np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(counts), np.int32)])
         self.used += len(flat)
 
     def rows_of(self, codes: np.ndarray, names: list[str]) -> np.ndarray:
@@ -100,9 +111,10 @@ class Encoder:
         keys = [names[k] for k in there]
         if new := list(filterfalse(self.known.__contains__, keys)):
             self.learn(new)
-        of = np.zeros(len(names), np.int64)
-        of[there] = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        return of[codes]
+        of = np.zeros(len(names), np.int32)
+        of[there] = rows = np.fromiter(map(self.known.__getitem__, keys), np.int32, len(keys))
+        self.hits[rows] += 1
+        return np.take(of, codes)
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The row of every piece, and where each text's pieces begin.
@@ -122,7 +134,7 @@ class Encoder:
         if self.drops_space:
             bare = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare)
         words = bare.dictionary_encode()
-        word, of = words.indices.to_numpy().astype(np.int64)[code], words.dictionary.to_pylist()
+        word, of = np.take(words.indices.to_numpy(), code), words.dictionary.to_pylist()
         if not self.drops_space:
             spaced = np.ones(len(word), bool)
             spaced[begin[:-1][begin[:-1] < len(word)]] = False
@@ -130,9 +142,9 @@ class Encoder:
             spaced[1:] &= ~feed[:-1]
             word = word * 2 + (spaced & ~feed)
             of = [x for w in of for x in (w, " " + w)]
-        rows = np.empty(2 * len(code), np.int64)
+        rows = np.empty(2 * len(code), np.int32)
         rows[0::2] = self.rows_of(word, of)
-        rows[1::2] = self.rows_of(ends.indices.to_numpy().astype(np.int64)[code], ends.dictionary.to_pylist())
+        rows[1::2] = self.rows_of(np.take(ends.indices.to_numpy(), code), ends.dictionary.to_pylist())
         return rows, 2 * begin
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -180,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = kept("encoder", Encoder, tokenizer, end), TaskContext.get().partitionId(), 0
-        for b in slices(batches, 8 << 20):
+        for b in slices(batches, 3 << 20):
             ids = [x.view(np.int32) for x in coder.encode(b.column("text"))]
             counts = np.array([len(x) for x in ids], np.int64)
             before = start + np.cumsum(counts) - counts
