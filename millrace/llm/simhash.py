@@ -177,7 +177,7 @@ def fingerprint_digests(found: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each group, that of the smallest doc_id, all columns kept; rows without doc_id stay."""
     found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "survivors")
     out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if not keep.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
