@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -104,9 +105,9 @@ def mine(rows: list[tuple[set[str], int]], share: float = 0.01, ratio: float = 2
     """Words and stems that set toxic documents apart, from (words of a document, label).
 
     Toxic documents that are copies of one another (by the share of equal minima of hashed words) count once, so
-    that the rare words of a copied document don't pass for a lexicon: an entry must occur in at least 3 and in
-    `share` of the groups, and `ratio` times as often as in documents that aren't toxic. A stem must gather several
-    words.
+    that the rare words of a copied document don't pass for a lexicon. An entry must occur in at least 3 and in
+    `share` of the groups, in so many that hardly any of all words would be found in toxic documents alone by
+    chance, and `ratio` times as often as in documents that aren't toxic. A stem must gather several words.
     """
     toxic = [w for w, y in rows if y and w]
     clean = [w for w, y in rows if not y]
@@ -124,7 +125,8 @@ def mine(rows: list[tuple[set[str], int]], share: float = 0.01, ratio: float = 2
         for x in parts(w):
             found[x].add(g)
     groups = len(set(group))
-    least = max(3, share * groups)
+    chance = groups / max(groups + len(clean), 1)  # that a word of one document is a toxic one's
+    least = max(3, share * groups, math.log(0.1 / max(len(found), 1)) / math.log(min(max(chance, 1e-9), 0.5)))
     held = {x: len(g) for x, g in found.items() if len(g) >= least}
     other = Counter(x for w in clean for x in parts(w) if x in held)
     good = {x for x, n in held.items() if n / max(groups, 1) >= ratio * (other[x] + 0.5) / (len(clean) + 1)}
