@@ -32,6 +32,11 @@ NO_SPANS = "array<struct<kind:string,start:int,end:int,found:string>>"
 BLOCK = 512
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def before(sizes: Column) -> Column:
     """Sums of the elements before each element. In blocks: growing one array element by element would copy it each time."""
 
@@ -39,26 +44,32 @@ def before(sizes: Column) -> Column:
         start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(values, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda k: F.slice(sizes, k * BLOCK + 1, BLOCK))
-    firsts = run(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), firsts.alias("f")), lambda x: run(x["b"], x["f"])))
+    def whole(blocks: Column) -> Column:
+        firsts = run(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), firsts.alias("f")), lambda x: run(x["b"], x["f"])))
+
+    numbers = lambda s: F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int"))
+    return let(sizes, lambda s: let(F.transform(numbers(s), lambda k: F.slice(s, k * BLOCK + 1, BLOCK)), whole))
 
 
-def matches(text: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """Of each match of the pattern, in code points: where it starts, the text since the match before, and the match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    sizes = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f")), lambda x: F.char_length(x["g"]) + F.char_length(x["f"]))
-    starts = F.transform(F.arrays_zip(before(sizes).alias("b"), gaps.alias("g")), lambda x: x["b"] + F.char_length(x["g"]))
-    return starts, gaps, found
+def matches(text: Column, pattern: str) -> Column:
+    """Of each match of the pattern: s (where it starts, in code points), g (the text since the match before), f (the match)."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("f"), F.split(text, pattern, -1).alias("g"))
+
+    def one(x: Column) -> Column:
+        return F.struct((x["b"] + F.char_length(x["z"]["g"])).alias("s"), x["z"]["g"].alias("g"), x["z"]["f"].alias("f"))
+
+    def placed(z: Column) -> Column:
+        sizes = F.transform(z, lambda x: F.char_length(x["g"]) + F.char_length(x["f"]))
+        return F.transform(F.arrays_zip(z.alias("z"), before(sizes).alias("b")), one)
+
+    some = lambda m: let(F.arrays_zip(F.slice(m["g"], 1, F.size(m["f"])).alias("g"), m["f"].alias("f")), placed)
+    return let(both, lambda m: F.when(F.size(m["f"]) > 0, some(m)).otherwise(F.array().cast("array<struct<s:int,g:string,f:string>>")))
 
 
 def spans(text: Column, pattern: str, kind: str) -> Column:
     """Array of (kind, start, end, found) of the pattern's matches, in code points."""
-    starts, _, found = matches(text, pattern)
-    one = lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.char_length(x["f"])).alias("end"), x["f"].alias("found"))
-    some = F.transform(F.arrays_zip(starts.alias("s"), found.alias("f")), one)
-    return F.when(F.size(found) > 0, some).otherwise(F.array().cast(NO_SPANS))
+    return F.transform(matches(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.char_length(x["f"])).alias("end"), x["f"].alias("found")))
 
 
 def digits(found: Column) -> Column:
@@ -115,9 +126,6 @@ def contexts(text: Column) -> Column:
     A token like name=value or name:value is the value with name= for a word before it; quotes and closing marks
     at its edges aren't part of the value.
     """
-    starts, gaps, found = matches(text, TOKEN)
-    last = F.concat(F.array(F.lit("")), F.slice(found, 1, F.size(found) - 1))
-
     def one(x: Column) -> Column:
         lead = F.regexp_extract(x["f"], r"^([^=:0-9@]{1,30}[=:])?[\"'(<\[]*", 0)
         value = F.regexp_replace(F.substring(x["f"], F.char_length(lead) + 1, F.char_length(x["f"])), r"[\"')>\].,;:!?]{1,9}$", "")
@@ -127,8 +135,12 @@ def contexts(text: Column) -> Column:
         two = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
         return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), F.lower(value).alias("value"), seed_kind(value).alias("kind"), two.alias("two"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("one"))
 
-    some = F.transform(F.arrays_zip(starts.alias("s"), gaps.alias("g"), found.alias("f"), last.alias("l")), one)
-    return F.when(F.size(found) > 0, F.filter(some, lambda x: x["end"] - x["start"] >= 5))
+    def whole(m: Column) -> Column:
+        last = F.concat(F.array(F.lit("")), F.transform(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), lambda x: x["f"]))
+        each = F.transform(F.arrays_zip(m.alias("m"), F.slice(last, 1, F.size(m)).alias("l")), lambda x: F.struct(x["m"]["s"].alias("s"), x["m"]["g"].alias("g"), x["m"]["f"].alias("f"), x["l"].alias("l")))
+        return F.filter(F.transform(each, one), lambda x: x["end"] - x["start"] >= 5)
+
+    return let(matches(text, TOKEN), whole)
 
 
 def bootstrapped(seen: DataFrame, rounds: int = 3, sure: float = 0.8, seeds: int = 5) -> DataFrame:
