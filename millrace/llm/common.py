@@ -38,7 +38,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -81,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, capacity: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, bins = kept("encoder", Encoder, tokenizer, end), Bins(capacity, TaskContext.get().partitionId() << 36)
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, 6 << 20):
             full: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text")), strict=True):
                 for start, size in cuts(len(ids), capacity):

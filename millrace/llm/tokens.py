@@ -36,7 +36,7 @@ class Encoder:
 
     MARK = ("\u00a9", "\u00a7", "\u00ae", "\u00b0", "#", "@")
 
-    def __init__(self, path: str, end: int | None, held: int = 600_000):
+    def __init__(self, path: str, end: int | None, held: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib, self.end, self.held = Tokenizer.from_file(path), end, held
@@ -192,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = kept("encoder", Encoder, tokenizer, end), TaskContext.get().partitionId(), 0
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, 6 << 20):
             ids = [x.view(np.int32) for x in coder.encode(b.column("text"))]
             counts = np.array([len(x) for x in ids], np.int64)
             before = start + np.cumsum(counts) - counts
