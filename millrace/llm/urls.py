@@ -40,16 +40,19 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.select("src", lowered(F.col("dst")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def propagated(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4, shares: bool = False) -> DataFrame:
     """host, trust, distrust: personalised PageRank from seeds, trust along links, distrust against them.
 
     hosts: host, good and bad (seed weights, 0 to 1). A host passes its trust on in proportion to its links, and
-    its distrust to those who link to it in proportion to theirs. Ends after `rounds`, or once no score changes
+    its distrust to those who link to it in proportion to theirs. With `shares` nothing is divided among receivers:
+    a host's distrust is that of the hosts it links to, averaged over its links, and its trust that of the hosts
+    that link to it, averaged over theirs; so neither depends on how many others link alike. Ends after `rounds`, or once no score changes
     by more than `tolerance`; each round is one join and one aggregation over the links, and is written.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("into"))
-    edges = checkpointed(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("gives"), (F.col("n") / F.col("into")).alias("takes")))
+    gives, takes = ("into", "out") if shares else ("out", "into")
+    edges = checkpointed(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col(gives)).alias("gives"), (F.col("n") / F.col(takes)).alias("takes")))
     nodes = hosts.select("host", "good", "bad").union(edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0), F.lit(0.0)))
     seeds = checkpointed(nodes.groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad")))
     now = seeds.select("host", "good", "bad", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
@@ -71,8 +74,8 @@ def propagated(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds
 def filter_urls(pages: DataFrame, rules=RULES, least: float = 0.1) -> DataFrame:
     """page_id, host, path, rule and verdict of every page; then the host's trust and distrust.
 
-    A page that a rule fits gets the rule's verdict. The others get their host's: block if its distrust is `least`
-    or more and exceeds its trust, else allow. A host's seed weights are the shares of its pages that rules allow
+    A page that a rule fits gets the rule's verdict. The others get their host's: block if its distrust by shares
+    (see propagated) is `least` or more and its distrust exceeds its trust, else allow. A host's seed weights are the shares of its pages that rules allow
     and block. A null url, or one without ://, has empty host and path and is allowed; null html has no links;
     rows that repeat are judged one by one; an empty table gives no rows; other columns are left out.
     """
@@ -81,6 +84,8 @@ def filter_urls(pages: DataFrame, rules=RULES, least: float = 0.1) -> DataFrame:
     parsed = parsed.withColumn("fit", fitting(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.coalesce((F.col("fit.verdict") == v).cast("double"), F.lit(0.0)))
     hosts = parsed.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
-    scores = propagated(hosts, host_links(parsed))
-    method = F.when((F.col("distrust") >= least) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    links = checkpointed(host_links(parsed))
+    by_share = propagated(hosts, links, shares=True).select("host", F.col("distrust").alias("share"))
+    scores = propagated(hosts, links).join(by_share, "host")
+    method = F.when((F.col("share") >= least) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return parsed.drop("html").join(scores, "host", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -75,3 +75,11 @@ def test_empty(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     one = U.filter_urls(spark.createDataFrame([(1, "http://x.org/", None)], "page_id long, url string, html string")).first()
     assert (one.host, one.path, one.rule, one.verdict) == ("x.org", "/", None, "allow")
+
+
+def test_every_host_that_links_to_a_blocked_one_is_blocked(spark):
+    n = 300
+    rows = [(0, "http://spam.net/es/1", "")] + [(k, f"http://s{k}.org/", LINK.format("spam.net")) for k in range(1, n + 1)]
+    rows += [(1000, "http://mixed.org/", LINK.format("spam.net") + "".join(LINK.format(f"fine{k}.org") for k in range(9))), (1001, "http://apart.org/", LINK.format("fine1.org"))]
+    got = {r.page_id: r.verdict for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == set(range(n + 1))
