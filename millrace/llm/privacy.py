@@ -5,7 +5,7 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored, texts
@@ -149,20 +149,20 @@ def bootstrapped(seen: DataFrame, rounds: int = 3, sure: float = 0.8, seeds: int
     Nodes are patterns (one or two words before a slot) and instances (the token's value). A token that holds a
     base span is a seed of its kind with score 1. In each round a pattern's score for a kind is the mean score of
     its instances, smoothed by two instances of score 0, and an instance takes the best score of its patterns
-    that reach one half. A pattern is sure with a score of `sure` and at least `seeds` different seeds. All tables
-    are aggregates over (pattern, instance), never pairs of instances.
+    that reach one half. A pattern counts in a round if at least `seeds` of its instances had a score of `sure` in the
+    round before (seeds always have), and is sure with a score of `sure` in the last round. All tables are aggregates over (pattern, instance), never pairs of instances.
     """
     each = seen.select("key", F.explode("tokens").alias("t")).select("key", "t", F.col("t.kind").alias("kind"))
     each = each.withColumn("pattern", F.explode(F.array_distinct(F.array(F.concat(F.lit("1 "), F.col("t.one")), F.concat(F.lit("2 "), F.col("t.two")))))).where("t.one <> ''")
     edges = stored(each.groupBy("pattern", F.col("t.value").alias("value")).agg(F.max("kind").alias("kind")), "contexts")
     scores = edges.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
     seeded = scores.select("value", "kind", F.lit(1.0).alias("score"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds"))
-    size = size.where(F.col("seeds") >= seeds)  # others can't become sure, and only these pass scores on
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds)  # others can't have as many
     live = stored(edges.drop("kind").join(size, "pattern"), "edges")
     for k in range(rounds):
-        patterns = live.join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / (F.first("n") + 2)).alias("score"))
-        patterns = stored(patterns, f"patterns{k}")
+        patterns = live.join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / (F.first("n") + 2)).alias("score"), F.sum((F.col("score") >= sure).cast("int")).alias("known"))
+        patterns = patterns.withColumn("known", F.sum("known").over(Window.partitionBy("pattern"))).where(F.col("known") >= seeds)
+        patterns = stored(patterns.drop("known"), f"patterns{k}")
         reached = live.join(patterns.where("score >= 0.5"), "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
         scores = reached.union(seeded).groupBy("value", "kind").agg(F.max("score").alias("score"))
     good = patterns.where(F.col("score") >= sure).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))

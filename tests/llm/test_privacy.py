@@ -63,3 +63,12 @@ def test_only_dataframe_functions(spark, edge):
 def test_rows_that_repeat_keep_a_row_each(spark, n):
     df = spark.createDataFrame([(1, "a@b.cd")] * n, "doc_id long, text string")
     assert [r.spans for r in P.digests(P.personal_data(df)).collect()] == ["email:0:6"] * n
+
+
+def test_contexts_found_in_a_round_lead_to_others(spark):
+    rows = [(k, f"kind regards, e-mail: user{k}@host{k}.example and more words") for k in range(200)]
+    rows += [(300 + k, f"as ever, e-mail: some{k}[at]host{k} and more") for k in range(30)]
+    rows += [(400 + k, f"or else reach me via some{k}[at]host{k} and more") for k in range(30)]  # no base match stands here
+    rows += [(500, "or else reach me via other77[at]host9 and more"), (501, "or else look for other77[at]host8 and more")]
+    got = {r.doc_id: r.spans for r in P.digests(P.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[300] == "email:17:31" and got[500] == "email:21:37" and got[501] == ""
