@@ -44,8 +44,19 @@ class Encoder:
         self.whole = rf"<\||[{OTHER_SPACE}]" if self.drops_space else rf"<\||[ \n{OTHER_SPACE}][ \n{OTHER_SPACE}]"
         self.gap = " " if self.drops_space else ""
         self.mark = next(((m, int(e[0])) for m in self.MARK if len(e := self.plain(f" {m}")) == 1), None)
+        self.ends: dict[str, bool] = {}
         self.forget()
 
+    def ends_word(self, letter: str) -> bool:
+        """Whether the tokenizer cuts between this letter and a mark after it. Normalising may make a letter end in a
+        combining mark, which some pre-tokenizers join with what follows; the library itself is asked."""
+        if letter not in self.ends:
+            text = f"a{letter},"
+            if self.lib.normalizer is not None:
+                text = self.lib.normalizer.normalize_str(text)
+            self.ends[letter] = text[-1:] == "," and self.lib.pre_tokenizer.pre_tokenize_str(text)[-1][0] == ","
+        return self.ends[letter]
+
     def forget(self) -> None:
         """Keep the pieces that came up in several batches since the last time, at most three fifths of `held`.
 
@@ -129,6 +140,9 @@ class Encoder:
         code, names = pieces.indices.to_numpy(), pieces.dictionary
         bare = pc.utf8_rtrim(names, ",.;:!?*%$#&")
         marked = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(names)), pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"))
+        last = pc.utf8_slice_codeunits(pc.if_else(marked, bare, ""), -1).dictionary_encode()
+        parts = np.array([x != "" and self.ends_word(x) for x in last.dictionary.to_pylist()], bool)
+        marked = pa.array(np.take(parts, last.indices.to_numpy()) if len(parts) else np.zeros(0, bool))
         bare = pc.if_else(marked, bare, names)
         ends = pc.if_else(marked, pc.replace_substring_regex(names, r"(?s)^.*[\p{L}\p{N}]", ""), "").dictionary_encode()
         if self.drops_space:
