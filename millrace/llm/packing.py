@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -15,64 +17,97 @@ from millrace.llm.tokens import Encoder
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class Part:
+    """Ids of a document from `start` on that aren't packed yet."""
+
+    __slots__ = ("doc", "ids", "first", "total", "start", "stop")
+
+    def __init__(self, doc, ids: np.ndarray, first: int, total: int, start: int, stop: int):
+        # ids begin at the document's place `first`; the document has `total`.
+        self.doc, self.ids, self.first, self.total, self.start, self.stop = doc, ids, first, total, start, stop
+
+    def __len__(self) -> int:
+        return self.stop - self.start
+
+    def taken(self, most: int) -> Part:
+        """The first ids, `most` at most, as a part of their own."""
+        end = min(self.stop, self.start + most)
+        out = Part(self.doc, self.ids, self.first, self.total, self.start, end)
+        self.start = end
+        return out
+
+
 class Bins:
-    """One worker's bins. A piece of class k is capacity / 2**k ids long, and a bin of that class holds 2**k
-    of them: a reciprocal-capacity class whose bins are full when their fixed count is reached. `place` gives
-    back the pieces of a bin once it is full; `rest` packs what no bin completed, longest first, which again
-    fills whole sequences, and ends in sequences of a power of two. Numbers are `first`, first + 1, ...
-    Fewer than 2 * capacity pieces wait at any time."""
+    """One worker's bins, independent of all others'.
+
+    A part of more than capacity / (j + 1) and at most capacity / j ids is of class j, and a bin of class j is
+    closed once it holds j parts: its fixed count. What a closed bin lacks, at most capacity / (j + 1), is filled
+    from a reserve of parts, the only ones that are cut (besides documents longer than a sequence, which give
+    whole sequences first). The reserve is kept at a sequence's length at least by putting the next parts there.
+    So closed bins are always full. Parts that wait: less than one bin of each class, of which there are about
+    2 * sqrt(capacity), and the reserve.
+    """
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
-        self.open: dict[int, list] = {}
-
-    def close(self, pieces: list) -> Iterator[tuple]:
+        self.open: dict[int, list[Part]] = {}
+        self.reserve: deque[Part] = deque()
+        self.held = 0  # ids in reserve
+
+    def drawn(self, most: int) -> Iterator[Part]:
+        """`most` ids from the reserve, or all it has."""
+        while most and self.reserve:
+            part = self.reserve[0].taken(most)
+            most -= len(part)
+            self.held -= len(part)
+            if not len(self.reserve[0]):
+                self.reserve.popleft()
+            yield part
+
+    def close(self, parts: list[Part]) -> Iterator[tuple]:
         at = 0
-        for piece in pieces:
-            yield (*piece, self.next, at)
-            at += piece[2]
+        for p in parts:
+            yield p.doc, p.start, len(p), p.ids[p.start - p.first : p.stop - p.first].astype("<u4").tobytes(), p.total, self.next, at
+            at += len(p)
         self.next += 1
 
-    def place(self, piece: tuple) -> Iterator[tuple]:
-        waiting = self.open.setdefault(piece[2], [])
-        waiting.append(piece)
-        if len(waiting) * piece[2] == self.capacity:
-            self.open[piece[2]] = []
-            yield from self.close(waiting)
+    def place(self, doc, ids: np.ndarray) -> Iterator[tuple]:
+        """Take a document; gives back the rows of the bins that are full now."""
+        rest = Part(doc, ids, 0, len(ids), 0, len(ids))
+        while len(rest) >= self.capacity:
+            yield from self.close([rest.taken(self.capacity)])
+        if not len(rest):
+            return
+        rest.ids, rest.first = rest.ids[rest.start :].copy(), rest.start  # what waits must not hold a batch's ids
+        if self.held < self.capacity:
+            self.reserve.append(rest)
+            self.held += len(rest)
+            return
+        count = self.capacity // len(rest)
+        own = self.open.setdefault(count, [])
+        own.append(rest)
+        if len(own) == count:
+            del self.open[count]
+            yield from self.close([*own, *self.drawn(self.capacity - sum(map(len, own)))])
 
     def rest(self) -> Iterator[tuple]:
-        left = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        total = sum(p[2] for p in left)
-        at = 0
-        while total:
-            room = self.capacity if total >= self.capacity else 1 << (total.bit_length() - 1)
-            total -= room
-            begin = at
-            while room:
-                room -= left[at][2]
-                at += 1
-            yield from self.close(left[begin:at])
-
-
-def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole sequences, then the powers of two that make up the rest."""
-    at = 0
-    while n - at >= capacity:
-        yield at, capacity
-        at += capacity
-    while at < n:
-        size = 1 << ((n - at).bit_length() - 1)
-        yield at, size
-        at += size
+        """What no bin completed, longest parts first, laid end to end: whole sequences, then ones of powers of two."""
+        left = sorted((p for own in self.open.values() for p in own), key=len, reverse=True)
+        self.reserve.extendleft(reversed(left))
+        self.held += sum(map(len, left))
+        self.open = {}
+        while self.held:
+            room = self.capacity if self.held >= self.capacity else 1 << (self.held.bit_length() - 1)
+            yield from self.close(list(self.drawn(room)))
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, capacity: int = 2048) -> DataFrame:
     """Pieces of documents in sequences of at most `capacity` ids (a power of two), with no padding.
 
-    Each task packs the documents it reads: nothing is shuffled, and a sequence number holds the task's number
-    in its upper bits, so tasks need not agree. Every sequence is full, but for at most log2(capacity) of each
-    task, whose fill is a power of two. Returns doc_id, start (its document's ids before the piece), length, ids
-    (little-endian uint32), doc_tokens, sequence_id and offset. A null text is empty (the end id alone is
+    Each task packs the documents it reads (see Bins): nothing is shuffled, and a sequence number holds the task's
+    number in its upper bits, so tasks need not agree. Every sequence is full, but for at most log2(capacity) of
+    each task, whose fill is a power of two. Returns doc_id, start (its document's ids before the piece), length,
+    ids (little-endian uint32), doc_tokens, sequence_id and offset. A null text is empty (the end id alone is
     packed); a null doc_id and repeated ids are packed like any others; other columns are left out; an empty
     table gives no rows.
     """
@@ -84,8 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, capacity: int = 2
         for b in slices(batches, 6 << 20):
             full: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text")), strict=True):
-                for start, size in cuts(len(ids), capacity):
-                    full += bins.place((doc, start, size, ids[start : start + size].astype("<u4").tobytes(), len(ids)))
+                full += bins.place(doc, ids)
             yield rows(full)
         yield rows(list(bins.rest()))
 
