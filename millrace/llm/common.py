@@ -11,24 +11,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh temporary one only where the session names none."""
+    """The folder all executors share. Where the session names none: a fresh temporary one if all runs on this machine, else an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
 
 
+SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new scratch table in the shared folder."""
+    SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables made so far; to be called once the results that read them are written."""
+    while SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,6 +75,25 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
+def text_hash(text: str | Column = "text") -> Column:
+    """A hash of a row's text (null as the empty one): with doc_id it names a row, but for rows alike in both."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the rows that bad (doc_id, text_hash) names; all columns kept, whatever their names."""
+    names = ["bad doc_id", "bad text_hash"]
+    bad = bad.select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(f"`{names[0]}`")) & (text_hash(docs["text"]) == F.col(f"`{names[1]}`")), "left_anti")
+
+
+def salted(large: DataFrame, small: DataFrame, on: list[str], by: str, ways: int = 16) -> DataFrame:
+    """large joined with small on `on`; rows of a hot key of large are dealt to `ways` tasks by the column `by`, small is repeated."""
+    a = large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(ways)))
+    b = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    return a.join(b, [*on, "salt"]).drop("salt")
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on, and what they no longer use others need."""
     pa.default_memory_pool().release_unused()
@@ -97,6 +134,6 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
-def unsigned_crc(col) -> F.Column:
+def unsigned_crc(col) -> Column:
     """crc32 of an id written as decimal text, as the labels' folds are fixed."""
     return F.crc32(col.cast("string").cast("binary"))

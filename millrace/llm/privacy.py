@@ -5,10 +5,10 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored, texts
+from millrace.llm.common import salted, stored, text_hash, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -23,9 +23,13 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])(?:[0-9][\x20-]?){12,18}[0-9](?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# A token with a digit or an at sign, and a bounded part of what stands before it.
+# A token with a digit or an at sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-REACH = 60
+# What marks a credential, the fifth kind (fixed values): public forms of keys, and names a value is given under.
+SECRET = "secret"
+KEY_FORMS = r"^(?:A(?:KI|SI)A[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk[-_][0-9A-Za-z_-]{20,}|eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_.-]+)$"
+KEY_NAMES = r"(?:^|[^a-z])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"']? ?(?:=|:|:=|=>)$"
+MARKS = "\"')>],.;:!?#*%$&|"
 
 
 NO_SPANS = "array<struct<kind:string,start:int,end:int,found:string>>"
@@ -53,18 +57,23 @@ def before(sizes: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Of each match of the pattern: s (where it starts, in code points), g (the text since the match before), f (the match)."""
+    """Of each match of the pattern: s (where it starts, in code points), g (the text since the match before), f (the match),
+    n (the text up to the next match) and h (the next match)."""
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("f"), F.split(text, pattern, -1).alias("g"))
 
     def one(x: Column) -> Column:
-        return F.struct((x["b"] + F.char_length(x["z"]["g"])).alias("s"), x["z"]["g"].alias("g"), x["z"]["f"].alias("f"))
+        return F.struct((x["b"] + F.char_length(x["z"]["g"])).alias("s"), x["z"]["g"].alias("g"), x["z"]["f"].alias("f"), x["z"]["n"].alias("n"), x["z"]["h"].alias("h"))
 
     def placed(z: Column) -> Column:
         sizes = F.transform(z, lambda x: F.char_length(x["g"]) + F.char_length(x["f"]))
         return F.transform(F.arrays_zip(z.alias("z"), before(sizes).alias("b")), one)
 
-    some = lambda m: let(F.arrays_zip(F.slice(m["g"], 1, F.size(m["f"])).alias("g"), m["f"].alias("f")), placed)
-    return let(both, lambda m: F.when(F.size(m["f"]) > 0, some(m)).otherwise(F.array().cast("array<struct<s:int,g:string,f:string>>")))
+    def some(m: Column) -> Column:
+        n = F.size(m["f"])
+        after = F.concat(F.slice(m["f"], 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit("")))
+        return let(F.arrays_zip(F.slice(m["g"], 1, n).alias("g"), m["f"].alias("f"), F.slice(m["g"], 2, n).alias("n"), after.alias("h")), placed)
+
+    return let(both, lambda m: F.when(F.size(m["f"]) > 0, some(m)).otherwise(F.array().cast("array<struct<s:int,g:string,f:string,n:string,h:string>>")))
 
 
 def spans(text: Column, pattern: str, kind: str) -> Column:
@@ -110,74 +119,106 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def seed_kind(value: Column) -> Column:
-    """The kind of the base span that a token holds, or begins (a phone number may have blanks)."""
-    out = F.when(value.rlike(PATTERNS["email"]), "email").when(value.rlike(r"^\+[0-9]"), "phone")
+def seed_kind(value: Column, two: Column, ahead: Column) -> Column:
+    """The kind of the base span that a token holds, or begins (a phone number may have blanks: `ahead` is the token and
+    what follows); secret for the public forms of keys, and for a value of 8 or more under a name that marks one."""
+    out = F.when(value.rlike(PATTERNS["email"]), "email").when(ahead.rlike(r"^\+[0-9][0-9().-]*+(?: \(?[0-9][0-9().-]*+)*$") & F.length(digits(ahead)).between(9, 15), "phone")
     whole = {"ip": r"^[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++$", "card": r"^[0-9](?:-?[0-9]){12,18}$"}
     for kind, pattern in whole.items():
         out = out.when(value.rlike(pattern) & holds(kind, value), kind)
-    return out
+    return out.when(value.rlike(KEY_FORMS) | (two.rlike(KEY_NAMES) & (F.char_length(value) >= 8) & value.rlike("[0-9]")), SECRET)
+
+
+def shape(value: Column) -> Column:
+    """What values of one make have in common: class and length of a run of letters and digits, else letters by runs and digits one by one."""
+    size = F.char_length(value).cast("string")
+    out = F.when(value.rlike("^[0-9]+$"), F.concat(F.lit("d"), size)).when(value.rlike("^[0-9a-fA-F]+$"), F.concat(F.lit("h"), size)).when(value.rlike("^[0-9A-Z]+$"), F.concat(F.lit("u"), size))
+    return out.when(value.rlike("^[0-9A-Za-z]+$"), F.concat(F.lit("w"), size)).otherwise(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a"))
 
 
 def contexts(text: Column) -> Column:
-    """Identifier-like tokens (with a digit or an at sign): start, end, value, kind if it is a seed, and the one and
-    the two words before, as far as the identifier-like token before it.
+    """Identifier-like tokens (with a digit or an at sign): start, end, value, kind if it is a seed, and patterns.
 
-    A token like name=value or name:value is the value with name= for a word before it; quotes and closing marks
-    at its edges aren't part of the value.
+    A token like name=value or name:value is the value with name= for a word before it; quotes at its front and
+    marks at its end aren't part of the value. Its patterns: the word before it, the two words before it, the words
+    before and after it, and, of a value of 6 or more, its shape. Words are what blanks separate, of any length.
     """
+    blank = lambda c: F.translate(c, "\n\t\r", "   ")
+    nines = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "9")
+
+    # In steps, each a struct of what the next names often: an expression is computed anew wherever it stands.
+    def parted(x: Column) -> Column:
+        lead = F.regexp_extract(x["m"]["f"], r"^([^=:0-9@]*+[=:])?+[\"'(<\[]*+", 0)
+        return F.struct(*(x["m"][c].alias(c) for c in "sfnh"), F.rtrim(blank(x["m"]["g"])).alias("gap"), F.ltrim(blank(x["m"]["n"])).alias("past"), nines(x["l"]).alias("l"), lead.alias("lead"))
+
+    def worded(x: Column) -> Column:
+        value = F.rtrim(F.substring(x["f"], F.char_length(x["lead"]) + 1, F.char_length(x["f"])), F.lit(MARKS))
+        last = F.when(x["gap"] == "", x["l"]).otherwise(F.lower(F.substring_index(x["gap"], " ", -1)))
+        both = F.when(F.instr(x["gap"], " ") > 0, F.lower(F.substring_index(x["gap"], " ", -2))).otherwise(F.concat_ws(" ", x["l"], F.lower(x["gap"])))
+        right = F.when(x["past"] == "", nines(x["h"])).otherwise(F.lower(F.substring_index(x["past"], " ", 1)))
+        name = F.lower(F.regexp_extract(x["lead"], r"^[^=:]*[=:]", 0))
+        return F.struct((x["s"] + F.char_length(x["lead"])).alias("start"), value.alias("value"), name.alias("name"), last.alias("last"), both.alias("both"), right.alias("right"), F.when(x["n"] == " ", F.rtrim(x["h"], F.lit(MARKS))).alias("next"))
+
     def one(x: Column) -> Column:
-        lead = F.regexp_extract(x["f"], r"^([^=:0-9@]{1,30}[=:])?[\"'(<\[]*", 0)
-        value = F.regexp_replace(F.substring(x["f"], F.char_length(lead) + 1, F.char_length(x["f"])), r"[\"')>\].,;:!?]{1,9}$", "")
-        start = x["s"] + F.char_length(lead)
-        ahead = F.lower(F.right(F.concat(F.right(x["l"], F.lit(REACH)), F.right(x["g"], F.lit(REACH))), F.lit(REACH)))
-        words = F.filter(F.split(F.regexp_replace(F.concat_ws(" ", ahead, F.lower(F.regexp_extract(lead, r"^[^=:]*[=:]", 0))), "[0-9]", "9"), r"\s+"), lambda w: w != "")
-        two = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
-        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), F.lower(value).alias("value"), seed_kind(value).alias("kind"), two.alias("two"), F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("one"))
+        near = F.when(x["name"] != "", x["name"]).otherwise(x["last"])
+        two = F.when(x["name"] != "", F.concat_ws(" ", x["last"], x["name"])).otherwise(x["both"])
+        kind = seed_kind(x["value"], F.when(x["name"] != "", x["name"]).otherwise(x["both"]), F.concat_ws(" ", x["value"], x["next"]))
+        words = F.when(near != "", F.array(F.concat(F.lit("1 "), near), F.concat(F.lit("2 "), two), F.concat(F.lit("b "), near, F.lit(" _ "), x["right"]))).otherwise(F.array().cast("array<string>"))
+        own = F.when(F.char_length(x["value"]) >= 6, F.array(F.concat(F.lit("s "), shape(x["value"])))).otherwise(F.array().cast("array<string>"))
+        return F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end"), F.lower(x["value"]).alias("value"), kind.alias("kind"), F.concat(words, own).alias("patterns"))
 
     def whole(m: Column) -> Column:
         last = F.concat(F.array(F.lit("")), F.transform(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), lambda x: x["f"]))
-        each = F.transform(F.arrays_zip(m.alias("m"), F.slice(last, 1, F.size(m)).alias("l")), lambda x: F.struct(x["m"]["s"].alias("s"), x["m"]["g"].alias("g"), x["m"]["f"].alias("f"), x["l"].alias("l")))
-        return F.filter(F.transform(each, one), lambda x: x["end"] - x["start"] >= 5)
+        steps = F.transform(F.transform(F.arrays_zip(m.alias("m"), F.slice(last, 1, F.size(m)).alias("l")), parted), worded)
+        return F.transform(F.filter(steps, lambda x: x["value"] != ""), one)
 
     return let(matches(text, TOKEN), whole)
 
 
-def bootstrapped(seen: DataFrame, rounds: int = 3, sure: float = 0.8, seeds: int = 5) -> DataFrame:
-    """key, kind, start, end of what high-confidence patterns find among the tokens of documents (key, tokens).
+def bootstrapped(seen: DataFrame, rounds: int = 4, sure: float = 0.8, seeds: int = 5) -> DataFrame:
+    """key, kind, start, end of what high-confidence patterns find among the tokens of documents (key, tokens), and of the
+    secrets among the seeds.
 
-    Nodes are patterns (one or two words before a slot) and instances (the token's value). A token that holds a
-    base span is a seed of its kind with score 1. In each round a pattern's score for a kind is the mean score of
-    its instances, smoothed by two instances of score 0, and an instance takes the best score of its patterns
-    that reach one half. A pattern counts in a round if at least `seeds` of its instances had a score of `sure` in the
-    round before (seeds always have), and is sure with a score of `sure` in the last round. All tables are aggregates over (pattern, instance), never pairs of instances.
+    Nodes are patterns (words around a slot, or a value's shape; see contexts) and instances (the token's value). A
+    token that holds a base span or a secret is a seed of its kind with score 1. In each round a pattern's score for
+    a kind is the mean score of its instances, smoothed by two instances of score 0, and an instance takes the best
+    score of its patterns that reach one half. A pattern counts in a round if at least `seeds` of its instances had a
+    score of `sure` in the round before (seeds always have), and is sure with a score of `sure` in the last round.
+    Ends when a round moves no pattern's score by more than 0.01, after `rounds` at most. All tables are aggregates over
+    (pattern, instance), never pairs of instances; a hot pattern's or instance's rows are dealt to several tasks.
     """
-    each = seen.select("key", F.explode("tokens").alias("t")).select("key", "t", F.col("t.kind").alias("kind"))
-    each = each.withColumn("pattern", F.explode(F.array_distinct(F.array(F.concat(F.lit("1 "), F.col("t.one")), F.concat(F.lit("2 "), F.col("t.two")))))).where("t.one <> ''")
-    edges = stored(each.groupBy("pattern", F.col("t.value").alias("value")).agg(F.max("kind").alias("kind")), "contexts")
-    scores = edges.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
-    seeded = scores.select("value", "kind", F.lit(1.0).alias("score"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds)  # others can't have as many
-    live = stored(edges.drop("kind").join(size, "pattern"), "edges")
+    tokens = seen.select("key", F.explode("tokens").alias("t")).select("key", "t", F.col("t.kind").alias("kind"), F.col("t.value").alias("value"))
+    each = tokens.withColumn("pattern", F.explode(F.array_distinct("t.patterns")))
+    edges = stored(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "contexts")
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeded = stored(edges.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score")), "seeds")
+    scores, before = seeded, None
     for k in range(rounds):
-        patterns = live.join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / (F.first("n") + 2)).alias("score"), F.sum((F.col("score") >= sure).cast("int")).alias("known"))
-        patterns = patterns.withColumn("known", F.sum("known").over(Window.partitionBy("pattern"))).where(F.col("known") >= seeds)
-        patterns = stored(patterns.drop("known"), f"patterns{k}")
-        reached = live.join(patterns.where("score >= 0.5"), "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
+        sums = salted(edges.drop("kind"), scores, ["value"], "pattern").groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum((F.col("score") >= sure).cast("int")).alias("known"))
+        enough = sums.groupBy("pattern").agg(F.sum("known").alias("known")).where(F.col("known") >= seeds).select("pattern")
+        patterns = stored(sums.drop("known").join(enough, "pattern").join(size, "pattern").select("pattern", "kind", (F.col("score") / (F.col("n") + 2)).alias("score")), f"patterns{k}")
+        if before is not None:
+            both = patterns.join(before.withColumnRenamed("score", "was"), ["pattern", "kind"], "left")
+            if (both.agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0] or 0) <= 0.01:
+                break
+        before = patterns
+        reached = salted(edges.drop("kind"), patterns.where("score >= 0.5"), ["pattern"], "value").groupBy("value", "kind").agg(F.max("score").alias("score"))
         scores = reached.union(seeded).groupBy("value", "kind").agg(F.max("score").alias("score"))
     good = patterns.where(F.col("score") >= sure).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))
-    new = each.where("kind is null").join(good, "pattern")
+    new = salted(each.where("kind is null"), good, ["pattern"], "key").select("key", "t", "found")
+    new = new.union(tokens.where(F.col("kind") == SECRET).select("key", "t", F.col("kind").alias("found")))
     return new.groupBy("key", F.col("t.start").alias("start"), F.col("t.end").alias("end")).agg(F.min("found").alias("kind")).select("key", "kind", "start", "end")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (base: kind, start, end, found) and added (kind, start, end) of every row.
+    """doc_id, spans (base: kind, start, end, found) and added (kind, start, end; none overlaps a base span) of every row.
 
     Positions are code points, the end exclusive. A null text is empty. Rows that repeat or share a doc_id keep a
     row each; a null doc_id is treated like any other. An empty table gives no rows. Other columns are left out.
     """
     rows = texts(docs)
-    seen = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), base_spans(F.col("text")).alias("spans"), F.when(F.col("text").rlike("[0-9@]"), contexts(F.col("text"))).alias("tokens"))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(text_hash()))  # rows alike in id and text share it, and all spans
+    seen = rows.select("doc_id", key.alias("key"), base_spans(F.col("text")).alias("spans"), F.when(F.col("text").rlike("[0-9@]"), contexts(F.col("text"))).alias("tokens"))
     seen = stored(seen, "personal")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     per = bootstrapped(seen).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
@@ -190,8 +231,8 @@ def joined(spans: Column) -> Column:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans, and all spans, by kind as KINDS lists them, then by start."""
+    """Counts and digest of the base spans, and all spans, by kind as KINDS lists them (secret last), then by start."""
     bare = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    both = F.concat(*(F.array_sort(F.filter(F.concat(bare, F.col("added")), of_kind(kind))) for kind in KINDS))
+    both = F.concat(*(F.array_sort(F.filter(F.concat(bare, F.col("added")), of_kind(kind))) for kind in (*KINDS, SECRET)))
     counts = [F.size(F.filter("spans", of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(both).alias("spans"))
