@@ -17,9 +17,10 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: in
     """doc_id, text, label and place (a hash of the id) of at most `most` labelled documents outside the fold that is held out.
 
     The sample is that of the smallest hashes, so it is the same for any partitioning. Labels other than 0 and 1
-    and null ids are left out; of several labels of one id the largest counts.
+    and null ids are left out; of several labels of one id the largest counts, and of several texts the least.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~in_fold(F.col("doc_id"), folds, fold))
     one = own.groupBy("doc_id").agg(F.max(column).cast("int").alias("label")).withColumn("place", F.xxhash64("doc_id"))
     few = one.orderBy("place", "doc_id").limit(most)
-    return texts(docs).join(F.broadcast(few), "doc_id")  # `most` rows of 20 bytes
+    found = texts(docs).join(F.broadcast(few), "doc_id")  # `most` rows of 20 bytes
+    return found.groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))  # one row an id, however often it occurs

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, slices, stored, texts
+from millrace.llm.common import checkpointed, salted, slices, stored, text_hash, texts
 from millrace.plans.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -117,13 +117,14 @@ def key_rows(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, fp (long) of every row."""
+    """doc_id, text_hash and fp (long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array([fingerprint(t, size) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t, size) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), b.column("text_hash"), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def links(nodes: DataFrame, most: int = 4) -> DataFrame:
@@ -152,22 +153,30 @@ def links(nodes: DataFrame, most: int = 4) -> DataFrame:
     return x.join(y, on).select("x", "y").distinct()
 
 
+def grouped(docs: DataFrame, size: int, most: int) -> DataFrame:
+    """doc_id, text_hash, fp, component (a fingerprint that names the group) and component_id of every row; see near_duplicates."""
+    fps = stored(fingerprints(docs, size), "fingerprints")
+    nodes = checkpointed(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Fingerprints are the nodes: a doc_id may stand over texts that have nothing to do with one another.
+    of = checkpointed(components(links(nodes, most).select(F.col("x").alias("a"), F.col("y").alias("b")), checkpointed).withColumnRenamed("node", "fp"))
+    linked = nodes.join(of, "fp")
+    roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = salted(linked, roots, ["component"], "fp").select("fp", "component", "component_id")
+    out = fps.where("doc_id is not null").join(named, "fp", "left").join(nodes, "fp")
+    out = out.select("doc_id", "text_hash", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return out.union(fps.where("doc_id is null").select("doc_id", "text_hash", "fp", none, none))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
-    """doc_id, fp (long) and component_id (the smallest doc_id reachable over links) of every row.
+    """doc_id, text_hash, fp (long) and component_id (the smallest doc_id reachable over links) of every row.
 
     Rows with one fingerprint are one node from the start, so groups of copies of any size cost nothing more;
     links join different fingerprints. A null or empty text has fingerprint 0. A row without doc_id takes no
-    part in any group and has no component_id. Rows that repeat, or share a doc_id, keep a row each. An empty
-    table gives no rows. Other columns are left out.
+    part in any group and has no component_id. Rows that repeat, or share a doc_id, keep a row each, and are
+    grouped by their own texts. An empty table gives no rows. Other columns are left out.
     """
-    fps = stored(fingerprints(docs, size), "fingerprints")
-    nodes = checkpointed(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = links(nodes, most)
-    named = found.join(nodes.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(nodes.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
-    of = components(named, checkpointed)
-    roots = nodes.join(of, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(roots, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return grouped(docs, size, most).drop("component")
 
 
 def fingerprint_digests(found: DataFrame) -> DataFrame:
@@ -175,10 +184,15 @@ def fingerprint_digests(found: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id, all columns kept; rows without doc_id stay."""
-    found = near_duplicates(docs)
-    keep = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "survivors")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not keep.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    """docs with one row of each group, all columns kept: the smallest doc_id's, of several of that id the one of the
+    smallest text hash, of rows alike in both any one. Rows that share a doc_id and aren't near duplicates stay; so do
+    rows without doc_id.
+    """
+    found = grouped(docs, 4, 4).where("doc_id is not null")
+    row = F.struct(F.col("doc_id").alias("keep doc_id"), F.col("text_hash").alias("keep text_hash"))
+    keep = stored(found.groupBy("component").agg(F.min(row).alias("row")).select("row.*"), "survivors")
+    twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    out = docs.join(keep, (docs["doc_id"] == F.col("`keep doc_id`")) & (text_hash(docs["text"]) == F.col("`keep text_hash`")), "left_semi")
+    if not twice.isEmpty():  # rows alike in id and text: any one of them
+        out = out.withColumn("keep text_hash", text_hash(docs["text"])).dropDuplicates(["doc_id", "keep text_hash"]).drop("keep text_hash")
     return out.union(docs.where("doc_id is null"))

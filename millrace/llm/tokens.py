@@ -7,7 +7,6 @@ Texts where such a cut could be wrong (white space in a row, text of special tok
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain, filterfalse
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import kept, list_array, shared_dir, slices, texts
+from millrace.llm.common import kept, list_array, scratch, slices, texts
 
 
 # White space of any kind but the space and the line feed, as a class of the regular expressions below.
@@ -249,6 +248,6 @@ def token_digests(rows: DataFrame) -> DataFrame:
 
 def token_ids_written(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write token files to the shared folder, read them back and digest what was read."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer)
     return token_digests(read_token_files(docs.sparkSession, path))

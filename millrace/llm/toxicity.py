@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import kept, list_array, slices, texts
+from millrace.llm.common import kept, list_array, slices, text_hash, texts, without
 from millrace.llm.labelled import in_fold, sample
 from millrace.llm.trees import Boosted, Isotonic
 
@@ -191,7 +191,7 @@ def with_features(rows: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row."""
+    """doc_id, text_hash and score (0 to 1) of every row."""
     words, stems = tuple(sorted(model.lexicon.words)), tuple(sorted(model.lexicon.stems))
     trees, isotonic = model.trees, model.isotonic
 
@@ -199,9 +199,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         marks = kept("marks", lambda w, s: Marks(Lexicon(w, s)), words, stems)
         for b in slices(batches):
             x = np.array([features(t, marks) for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(isotonic(trees.raw(x)))], ["doc_id", "score"])
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), b.column("text_hash"), pa.array(isotonic(trees.raw(x)))], ["doc_id", "text_hash", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    return texts(docs).select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, score double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, fold: int = 0, least: float = 0.5, most: int = 6000) -> DataFrame:
@@ -216,6 +216,5 @@ def judged(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents scored 0.5 or more, all columns kept; rows that share a doc_id go together, a null doc_id stays."""
-    bad = judged(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """docs without the documents scored 0.5 or more, all columns kept. Every row is judged by its own text, whatever its doc_id."""
+    return without(docs, score(docs, train(docs, labels)).where("score >= 0.5"))
