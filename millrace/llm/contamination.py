@@ -2,96 +2,98 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import list_array, slices, stored, texts
+from millrace.llm.common import list_array, salted, slices, stored, text_hash, texts, without
 
 # A-Z to a-z; every byte that belongs to no word to a space. Bytes above 0x7F are parts of words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+NONE = np.zeros(0, np.int32)
 
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-INDEX_SCHEMA = "docs array<long>, rows array<long>, sizes array<int>, terms array<int>, ends array<long>, places array<int>"
+INDEX_SCHEMA = "block long, term binary, places array<int>, docs array<long>, hashes array<long>, sizes array<int>"
+INDEX_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2"}
 
 
-def build_index(docs: DataFrame, vocabulary: list[bytes], block_words: int = 4_000_000) -> DataFrame:
-    """Positional postings of `vocabulary` in all documents, as blocks; a block's postings are one row.
+def build_index(docs: DataFrame, block_words: int = 2_000_000) -> DataFrame:
+    """Positional postings of all terms in all documents, written to the shared folder.
 
-    A block holds whole documents with about `block_words` words and is built where the documents are read:
-    nothing is shuffled. Its documents are laid end to end, with a gap of one between them, and a posting is a
-    place on that line. `terms` are the block's terms (numbers into the vocabulary), `ends` where the postings
-    of each end in `places`; `docs`, `rows` and `sizes` are the documents, their numbers and their counts of
-    words. Terms outside the vocabulary can't match and aren't kept.
+    A block holds whole documents with about `block_words` words (a longer document is a block of its own) and is
+    built where the documents are read: nothing is shuffled. Its documents are laid end to end, with a gap of one
+    between them, and a posting is a place on that line. A row for each block and term: `places`; and one for each
+    block, with a null term: its documents' ids, text hashes and counts of words.
     """
-    number = {w: k for k, w in enumerate(vocabulary)}
-
-    def block(ids: list, rows: list, sizes: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
-        line = np.concatenate(found)
-        places = np.flatnonzero(line >= 0)
-        order = places[np.argsort(line[places], kind="stable")]
-        terms, counts = np.unique(line[places], return_counts=True)
-        one = lambda x, kind: list_array([np.asarray(x)], kind)
+
+    def block(number: int, ids: list, hashes: list, sizes: list[int], found: list[np.ndarray], terms: dict[bytes, int]) -> pa.RecordBatch:
+        counts = np.array(sizes, np.int64)
+        codes = np.concatenate([*found, NONE])
+        places = (np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), counts)).astype(np.int32)
+        order = np.argsort(codes.astype(np.uint16) if len(terms) < 1 << 16 else codes, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(terms))), [len(codes)]]).astype(np.int32)
+        postings = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[order]))
+        last = lambda x, kind: pa.array([*[None] * len(terms), x], pa.list_(kind))
         return pa.record_batch(
-            [pa.array([ids], pa.list_(pa.int64())), one(np.array(rows, np.int64), pa.int64()), one(np.array(sizes, np.int32), pa.int32()), one(terms.astype(np.int32), pa.int32()), one(np.cumsum(counts).astype(np.int64), pa.int64()), one(order.astype(np.int32), pa.int32())],
-            ["docs", "rows", "sizes", "terms", "ends", "places"],
+            [pa.array(np.full(len(terms) + 1, number)), pa.array([*terms, None], pa.binary()), postings, last(ids, pa.int64()), last(hashes, pa.int64()), last(sizes, pa.int32())],
+            ["block", "term", "places", "docs", "hashes", "sizes"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.get
-        ids, rows, sizes, found, total = [], [], [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        ids, hashes, sizes, found, terms, total = [], [], [], [], {}, 0
         for b in slices(batches):
-            for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                w = words(text)
-                line = np.full(len(w) + 1, -1, np.int32)
-                line[:-1] = np.fromiter((get(x, -1) for x in w), np.int32, len(w))
-                ids.append(doc)
-                rows.append(row)
-                sizes.append(len(w))
-                found.append(line)
-                total += len(line)
-                if total >= block_words:
-                    yield block(ids, rows, sizes, found)
-                    ids, rows, sizes, found, total = [], [], [], [], 0
+            each = [words(t) for t in b.column("text").to_pylist()]
+            flat = pa.array([w for ws in each for w in ws], pa.binary()).dictionary_encode()
+            own = np.array([terms.setdefault(w, len(terms)) for w in flat.dictionary.to_pylist()], np.int32)
+            found.append(np.take(own, flat.indices.to_numpy()) if len(flat) else NONE)
+            sizes += map(len, each)
+            ids += b.column("doc_id").to_pylist()
+            hashes += b.column("text_hash").to_pylist()
+            total += len(flat)
+            if total >= block_words:
+                yield block(number, ids, hashes, sizes, found, terms)
+                ids, hashes, sizes, found, terms, total, number = [], [], [], [], {}, 0, number + 1
         if ids:
-            yield block(ids, rows, sizes, found)
+            yield block(number, ids, hashes, sizes, found, terms)
 
-    return texts(docs.withColumn("row", F.monotonically_increasing_id()), "row").mapInArrow(run, INDEX_SCHEMA)
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    return stored(rows.mapInArrow(run, INDEX_SCHEMA), "postings", **INDEX_OPTIONS)
 
 
 class Block:
-    """One row of the index."""
-
-    def __init__(self, row: dict):
-        self.docs = row["docs"]
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.length = int((self.sizes + 1).sum())
-        self.places = np.asarray(row["places"])
-        ends = np.asarray(row["ends"])
-        self.lists = {int(t): (int(a), int(b)) for t, a, b in zip(row["terms"], np.concatenate([[0], ends[:-1]]), ends, strict=True)} if len(ends) else {}
-
-    def count(self, term: int) -> int:
-        a, b = self.lists.get(term, (0, 0))
-        return b - a
-
-    def postings(self, term: int) -> np.ndarray:
-        a, b = self.lists.get(term, (0, 0))
-        return self.places[a:b]
-
-    def phrase(self, terms: Sequence[int]) -> np.ndarray:
+    """Posting lists of a block."""
+
+    def __init__(self, lists: dict[bytes, np.ndarray], sizes: np.ndarray | None = None):
+        self.lists = lists
+        if sizes is not None:
+            self.sizes = np.asarray(sizes, np.int64)
+            self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
+
+    @staticmethod
+    def of(terms: pa.Array, places: pa.Array) -> Block:
+        at, flat = places.offsets.to_numpy(), places.values.to_numpy(zero_copy_only=False)
+        return Block({t: flat[a:b] for t, a, b in zip(terms.to_pylist(), at[:-1], at[1:], strict=True) if t is not None})
+
+    def count(self, term: bytes) -> int:
+        return len(self.postings(term))
+
+    def postings(self, term: bytes) -> np.ndarray:
+        return self.lists.get(term, NONE)
+
+    def phrase(self, terms: Sequence[bytes]) -> np.ndarray:
         """Where the phrase begins: the list of its rarest term, cut down by the others' offset-adjusted lists."""
         order = sorted(range(len(terms)), key=lambda k: self.count(terms[k]))
         if not self.count(terms[order[0]]):
-            return np.zeros(0, np.int32)
+            return NONE
         found = self.postings(terms[order[0]]) - order[0]
         found = found[found >= 0]
         for k in order[1:]:
@@ -102,11 +104,11 @@ class Block:
             found = found[there[np.minimum(at, len(there) - 1)] == found + k]
         return found
 
-    def near(self, terms: Sequence[int], within: int) -> np.ndarray:
+    def near(self, terms: Sequence[bytes], within: int) -> np.ndarray:
         """Places of the rarest term such that all terms stand within `within` words after or before it, in its document."""
         order = sorted(set(terms), key=self.count)
         if not order or not self.count(order[0]):
-            return np.zeros(0, np.int32)
+            return NONE
         found = self.postings(order[0])
         for term in order[1:]:
             there = self.postings(term)
@@ -120,132 +122,137 @@ class Block:
         return np.searchsorted(self.begins, places, "right") - 1
 
 
-def item_windows(items: list[tuple], size: int) -> dict[tuple[bytes, ...], set]:
-    """The windows of benchmark items, each with the items it comes from; an item of fewer words is one window."""
-    out: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item, text in items:
-        w = words(text)
-        for k in range(max(len(w) - size, 0) + 1 if w else 0):
-            out[tuple(w[k : k + size])].add(item)
-    return out
-
-
-def item_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of at most `most_bytes` of text (at least one item), so that each may be sent to every task."""
-    held, size = [], 0
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    for item, text in rows.toLocalIterator():
-        if held and size + len(text) > most_bytes:
-            yield held
-            held, size = [], 0
-        held.append((item, text))
-        size += len(text)
-    if held:
-        yield held
-
-
-def search(index: DataFrame, windows: dict, number: dict[bytes, int]) -> DataFrame:
-    """For every document of the index: its words, the spans of words that windows cover, and the items they come from."""
-    by_length: dict[int, list] = defaultdict(list)
-    for ws, items in windows.items():
-        by_length[len(ws)].append((tuple(number[w] for w in ws), sorted(items)))
-    groups = [(np.array([t for t, _ in own], np.int32), [items for _, items in own]) for own in by_length.values()]
+def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """window (its words, with blanks between them), n (their number), item_id: the windows of each item; an item of fewer words is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield one({c: batch.column(c)[k].values.to_pylist() if c == "docs" else batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in batch.schema.names})
-
-    def one(row: dict) -> pa.RecordBatch:
-        b = Block(row)
-        cover = np.zeros(b.length + 1, np.int32)
-        items: dict[int, set] = defaultdict(set)
-        counts = np.zeros(len(number) + 1, np.int64)
-        counts[row["terms"]] = np.diff(row["ends"], prepend=0)
-        for terms, its in groups:
-            for k in np.flatnonzero(counts[terms].min(1)).tolist():  # windows all of whose terms the block has
-                if len(at := b.phrase(terms[k].tolist())):
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + terms.shape[1], -1)
-                    for d in set(b.document(at).tolist()):
-                        items[d].update(its[k])
-        hit = np.cumsum(cover[:-1]) > 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        starts, ends = edge[::2], edge[1::2]
-        doc = b.document(starts)
-        spans = [[] for _ in b.docs]
-        for d, s, e in zip(doc.tolist(), (starts - b.begins[doc]).tolist(), (ends - b.begins[doc]).tolist(), strict=True):
-            spans[d] += [s, e]
-        return pa.record_batch(
-            [pa.array(b.docs, pa.int64()), pa.array(row["rows"], pa.int64()), pa.array(b.sizes), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(len(b.docs))], pa.list_(pa.int64()))],
-            ["doc_id", "row", "n_words", "spans", "items"],
-        )
+        for b in slices(batches):
+            row, found, count = [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                w = words(text)
+                for at in range(max(len(w) - size, 0) + 1 if w else 0):
+                    row.append(k)
+                    found.append(b" ".join(w[at : at + size]))
+                    count.append(min(len(w), size))
+            yield pa.record_batch([b.column("item_id").take(pa.array(row, pa.int64())), pa.array(found, pa.binary()), pa.array(count, pa.int32())], ["item_id", "window", "n"])
 
-    return index.mapInArrow(run, "doc_id long, row long, n_words long, spans array<int>, items array<long>")
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"item_id {kind}, window binary, n int").distinct()
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """One row per document from the rows of several benchmark blocks: spans united, items joined."""
+def occurrences(index: DataFrame, windows: DataFrame, most: int = 200_000) -> DataFrame:
+    """block, starts, ends (the stretches of a block's line that windows cover), found and places (windows, and a place of each in each document).
 
-    def unite(spans: pa.Array) -> list[int]:
-        out: list[int] = []
-        for s, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
-            if out and s <= out[-1]:
-                out[-1] = max(out[-1], e)
-            else:
-                out += [s, e]
-        return out
+    windows: window, distinct. Only posting lists of their terms are read. A window is looked for where its rarest
+    term occurs, and dropped if one of its terms occurs nowhere. A task holds the wanted posting lists of one block
+    and at most about `most` windows; beyond that they are dealt to several.
+    """
+    terms = windows.select("window", F.explode(F.split(F.col("window").cast("string"), " ")).alias("term")).distinct().withColumn("term", F.col("term").cast("binary"))
+    wanted = stored(index.where("term is not null").select("block", "term", "places").join(terms.select("term").distinct(), "term"), "wanted", **INDEX_OPTIONS)
+    known = wanted.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
+    rarest = terms.join(known, "term", "left").groupBy("window").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.min(F.col("n").isNotNull()).alias("all")).where("all")
+    parts = -(-max(windows.count(), 1) // most)
+    dealt = rarest.select("window", "term", F.pmod(F.xxhash64("window"), F.lit(parts)).cast("int").alias("part"))
+    places = dealt.join(wanted.select("block", "term"), "term").select("block", "part", "window")
+    lists = wanted.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "term", "places")
+
+    def look(lists: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+        lists = lists.combine_chunks()
+        one = lists.num_rows > 0
+        b = Block.of(lists.column("term").chunk(0), lists.column("places").chunk(0)) if one else Block({})
+        begins, ends, found, places = [], [], [], []
+        for window in asked.column("window").to_pylist():
+            ws = window.split(b" ")
+            if any(w not in b.lists for w in ws):
+                continue
+            if len(at := b.phrase(ws)):
+                begins.append(at)
+                ends.append(at + len(ws))
+                found += [window] * len(at)
+                places.append(at)
+        block = asked.column("block")[0].as_py()
+        return pa.table([pa.array([block], pa.int64()), *(pa.array([np.concatenate([*x, NONE])], pa.list_(pa.int32())) for x in (begins, ends)), pa.array([found], pa.list_(pa.binary())), pa.array([np.concatenate([*places, NONE])], pa.list_(pa.int32()))], list(kinds))
+
+    kinds = {"block": pa.int64(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "found": pa.list_(pa.binary()), "places": pa.list_(pa.int32())}
+    return lists.groupBy("block", "part").cogroup(places.groupBy("block", "part")).applyInArrow(look, "block long, starts array<int>, ends array<int>, found array<binary>, places array<int>")
+
+
+def by_document(index: DataFrame, hits: DataFrame) -> DataFrame:
+    """block, nth, doc_id, text_hash, n_words, spans and found (the windows) of every document of the index."""
+    all_of = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    per = hits.where(F.size("starts") > 0).groupBy("block").agg(*(all_of(c) for c in ("starts", "ends", "found", "places")))
+    rows = index.where("term is null").select("block", "docs", "hashes", "sizes").join(per, "block", "left")
+
+    def one(block: int, docs: list, hashes: list, sizes: np.ndarray, starts, ends, found, places) -> pa.RecordBatch:
+        b = Block({}, sizes)
+        spans, named = [[] for _ in docs], [[] for _ in docs]
+        if starts is not None:
+            cover = np.zeros(int((b.sizes + 1).sum()) + 1, np.int32)
+            np.add.at(cover, starts.values.to_numpy(), 1)
+            np.add.at(cover, ends.values.to_numpy(), -1)
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]]).astype(np.int8)))
+            doc = b.document(edge[::2])
+            for d, s, e in zip(doc.tolist(), (edge[::2] - b.begins[doc]).tolist(), (edge[1::2] - b.begins[doc]).tolist(), strict=True):
+                spans[d] += [s, e]
+            for d, w in {(d, w) for d, w in zip(b.document(places.values.to_numpy()).tolist(), found.as_py(), strict=True)}:
+                named[d].append(w)
+        n = len(docs)
+        return pa.record_batch(
+            [pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(b.sizes), pa.array(spans, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.binary()))],
+            ["block", "nth", "doc_id", "text_hash", "n_words", "spans", "found"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = pa.array([unite(x) for x in b.column("spans").to_pylist()], pa.list_(pa.int32()))
-            yield b.set_column(b.schema.get_field_index("spans"), "spans", spans)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k] for c in batch.schema.names}
+                lists = {c: r[c] if r[c].is_valid else None for c in ("starts", "ends", "found", "places")}
+                yield one(r["block"].as_py(), r["docs"].as_py(), r["hashes"].as_py(), r["sizes"].values.to_numpy(), **lists)
 
-    grouped = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return grouped.select("doc_id", "row", "n_words", "spans", "items").mapInArrow(run, "doc_id long, row long, n_words long, spans array<int>, items array<long>")
+    return rows.mapInArrow(run, "block long, nth int, doc_id long, text_hash long, n_words long, spans array<int>, found array<binary>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, most_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 2_000_000, most: int = 200_000) -> DataFrame:
     """Which words of each document lie in windows of benchmark items.
 
-    Returns doc_id, row (the row's place in docs), n_words, spans (begin and end of each covered stretch of
-    words, end exclusive, one after another) and items (sorted ids of the items with occurring windows).
-    The benchmark is taken in blocks of at most `most_bytes` of text; each block is sent to every task and
-    needs an index of its own terms. Nulls: a document without text has no words; benchmark rows without id or
-    text are no items. Rows that share a doc_id are judged one by one. Items that repeat count once. Empty
-    tables give no rows, or rows without hits. Other columns are left out.
+    Returns doc_id, text_hash, n_words, spans (begin and end of each covered stretch of words, end exclusive, one
+    after another) and items (sorted ids of the items with occurring windows). The index is written once; the
+    benchmark is a table like any other and passes through no single task. Nulls: a document without text
+    has no words; benchmark rows without id or text are no items. Rows that share a doc_id are judged one by one.
+    Items that repeat count once. Empty tables give no rows, or rows without hits. Other columns are left out.
     """
-    parts = []
-    for items in item_blocks(benchmark, most_bytes):
-        windows = item_windows(items, window)
-        vocabulary = sorted({w for ws in windows for w in ws})
-        index = stored(build_index(docs, vocabulary), "postings", compression="zstd")
-        parts.append(search(index, windows, {w: k for k, w in enumerate(vocabulary)}))
-    if not parts:
-        parts = [search(build_index(docs, []), {}, {})]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return merged(out)
-
-
-def find(docs: DataFrame, phrase: str, within: int | None = None) -> DataFrame:
-    """Occurrences of a phrase (doc_id, place in words), or, with `within`, of its words near one another."""
-    w = tuple(words(phrase))
-    vocabulary = sorted(set(w))
-    terms = tuple(vocabulary.index(x) for x in w)
+    index = build_index(docs, block_words)
+    of = stored(item_windows(benchmark, window), "windows")
+    hits = occurrences(index, of.select("window").distinct(), most)
+    found = stored(by_document(index, hits), "found", compression="zstd")
+    each = found.where(F.size("found") > 0).select("block", "nth", F.explode("found").alias("window"))
+    items = salted(each, of.select("window", "item_id"), ["window"], "nth").groupBy("block", "nth").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    kind = f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"
+    clean = found.where(F.size("found") == 0).select("doc_id", "text_hash", "n_words", "spans", F.array().cast(kind).alias("items"))
+    return clean.union(found.where(F.size("found") > 0).join(items, ["block", "nth"]).select("doc_id", "text_hash", "n_words", "spans", "items"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                at = np.unique((b.phrase(terms) if within is None else b.near(terms, within)) if terms else np.zeros(0, np.int32))
-                doc = b.document(at)
-                yield pa.record_batch([pa.array([b.docs[d] for d in doc], pa.int64()), pa.array((at - b.begins[doc]).astype(np.int64))], ["doc_id", "place"])
 
-    return build_index(docs, vocabulary).mapInArrow(run, "doc_id long, place long")
+def find(index: DataFrame, phrase: str, within: int | None = None) -> DataFrame:
+    """Occurrences of a phrase in an index (doc_id, place in words), or, with `within`, of its words near one another.
+
+    Only the posting lists of the phrase's words are read. A phrase without words occurs nowhere.
+    """
+    w = words(phrase)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        b = Block.of(t.column("term").chunk(0), t.column("places").chunk(0))
+        row = next(r for r in t.select(["term", "docs", "sizes"]).to_pylist() if r["term"] is None)
+        b = Block(b.lists, row["sizes"])
+        at = np.unique((b.phrase(w) if within is None else b.near(w, within)) if w else NONE)
+        doc = b.document(at)
+        return pa.table([pa.array([row["docs"][d] for d in doc], pa.int64()), pa.array((at - b.begins[doc]).astype(np.int64))], ["doc_id", "place"])
+
+    wanted = index.where(F.col("term").isNull() | F.col("term").isin([bytearray(x) for x in set(w)]) if w else F.col("term").isNull())
+    return wanted.groupBy("block").applyInArrow(run, "doc_id long, place long")
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -256,11 +263,10 @@ def verdicts(found: DataFrame) -> DataFrame:
     signed = F.transform("spans", lambda x, k: F.when(k % 2 == 0, -x).otherwise(x).cast("long"))
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
+    out = found.select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """docs without the documents that the verdict names, all columns kept; a doc_id's rows go together, a null doc_id stays."""
-    bad = verdicts(contamination(docs, benchmark, window)).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """docs without the documents that the verdict names, all columns kept. Every row is judged by its own text, whatever its doc_id."""
+    return without(docs, verdicts(contamination(docs, benchmark, window)).where("contaminated"))
