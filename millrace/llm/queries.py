@@ -33,7 +33,40 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"))
+    return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_rounds(name: str, shares: bool, rounds: int = 20, damping: float = 0.85) -> str:
+    """CTEs name0, name1, ...: trust and distrust round by round, as urls.propagated computes them."""
+    gives, takes = ("n / inn", "n / o") if shares else ("n / o", "n / inn")
+    out = [f"{name}0 AS (SELECT host, good, bad, good * {1 - damping} AS trust, bad * {1 - damping} AS distrust FROM seeds)"]
+    for k in range(rounds):
+        sums = f"SELECT dst AS host, trust * {gives} AS t, 0.0 AS d FROM edges JOIN {name}{k} ON src = host UNION ALL SELECT src, 0.0, distrust * {takes} FROM edges JOIN {name}{k} ON dst = host"
+        sums = f"SELECT host, sum(t) * {damping} AS t, sum(d) * {damping} AS d FROM ({sums}) GROUP BY host"
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT host, good, bad, good * {1 - damping} + coalesce(t, 0.0) AS trust, bad * {1 - damping} + coalesce(d, 0.0) AS distrust FROM {name}{k} LEFT JOIN ({sums}) USING (host))")
+    return ",\n".join(out)
+
+
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+HREF_SQL = urls.HREF.replace("*+", "*").replace("]++", "]+").replace("'", "''")
+OP2_SQL = f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT r, page_id, html, {LOWER_SQL.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, h, pre) AS (VALUES {RULES_SQL}),
+f AS (SELECT r, arg_max(h || pre, length(h || pre)) AS rule, arg_max(verdict, length(h || pre)) AS verdict
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY r),
+q AS (SELECT p.*, rule, verdict FROM p LEFT JOIN f USING (r)),
+hosts AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM q WHERE host <> '' GROUP BY host),
+l AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {LOWER_SQL.format("d")} AS dst
+  FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '{HREF_SQL}', 1))) AS d FROM p)) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+edges AS (SELECT src, dst, n, sum(n) OVER (PARTITION BY src) AS o, sum(n) OVER (PARTITION BY dst) AS inn FROM l),
+seeds AS (SELECT host, max(good) AS good, max(bad) AS bad FROM (SELECT * FROM hosts UNION ALL SELECT src, 0.0, 0.0 FROM edges UNION ALL SELECT dst, 0.0, 0.0 FROM edges) GROUP BY host),
+{op2_rounds("x", False)},
+{op2_rounds("y", True)}
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN y20.distrust >= 0.1 AND x20.distrust > x20.trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN x20 USING (host) LEFT JOIN y20 USING (host)
+"""
 
 
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +130,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_templates": op9_line_templates,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op2_urls": OP2_SQL, "op8_decontamination": OP8_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpointed
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HREF = r"""(?i)href\s{0,8}=\s{0,8}["']?(?:[a-z][a-z0-9+.-]{0,15}:)?//([^/?#"'>\s]+)"""
+HREF = r"""(?i)href\s*+=\s*+["']?(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'>\s]++)"""
 
 # (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
