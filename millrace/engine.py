@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import codecs
@@ -13,7 +13,7 @@ from millrace.operators import archive, chunking, index, info, ranges, seeds, st
 from millrace.sources.formats import Node
 
 STORE_SCHEMA = "id string, size long, stored_size long, data binary, generation int"
-INDEX_SCHEMA = "name string, pos long, id string, start long, size long"
+INDEX_SCHEMA = "name string, pos long, id string, start long, size long, version long"
 
 
 class Store:
@@ -58,7 +58,9 @@ class Store:
         Path, n = self.spark._jvm.org.apache.hadoop.fs.Path, self.generation()
         aside = f"{self.path}/.{uuid.uuid4().hex}"
         keep.write.parquet(f"{aside}/all")
-        self.fs.rename(Path(aside), Path(f"{self.path}/generation={n + 1}"))
+        if not self.fs.rename(Path(aside), Path(f"{self.path}/generation={n + 1}")):
+            self.fs.delete(Path(aside), True)
+            raise OSError(f"can't make generation {n + 1} of {self.path}")
 
     def prune(self, referenced: DataFrame) -> DataFrame:
         """Drop chunks that are not referenced; returns their ids."""
@@ -68,15 +70,17 @@ class Store:
         return gone
 
     def invalid(self) -> DataFrame:
-        if self.digest != "sha256":
-            raise ValueError("verification in SQL needs SHA-256 ids")
-        return stores.invalid(self.plain()).select("id")
-
-    def verify(self, repair: bool = False) -> list[str]:
-        """Ids whose chunk is damaged; with repair they are dropped."""
-        bad = [r.id for r in self.invalid().toLocalIterator()]
-        if repair and bad:
-            self.replace(stores.lacks(self.rows(), self.invalid()))
+        return stores.invalid(self.plain(), self.digest).select("id")
+
+    def verify(self, repair: bool = False) -> DataFrame:
+        """Ids whose chunk is damaged; with repair they are dropped (and the ids kept in a folder beside the chunks)."""
+        if not repair:
+            return self.invalid()
+        path = f"{self.path}/.damaged-{uuid.uuid4().hex}"
+        self.invalid().write.parquet(path)
+        bad = self.spark.read.schema("id string").parquet(path)
+        if not bad.isEmpty():
+            self.replace(stores.lacks(self.rows(), bad))
         return bad
 
 
@@ -91,25 +95,43 @@ class Engine:
         """name and data of the files at a path."""
         return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").alias("data"))
 
-    def save(self, chunks: DataFrame) -> None:
-        chunks.select("name", "pos", "id", "start", "size").write.mode("append").parquet(self.path)
+    def same(self, payload: str = "payload") -> Column:
+        """Whether a chunk's bytes have the digest of its id."""
+        return chunking.digest_of(F.col(payload), self.sizes.digest) == F.col("id")
+
+    def kept(self) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], INDEX_SCHEMA)
+
+    def save(self, chunks: DataFrame, names: DataFrame) -> None:
+        """Keep the indexes of `names`: a version newer than all, which replaces earlier ones of these names, also where
+        a blob has no chunks now (a row of pos -1 marks each). A name that doesn't stay in its store raises."""
+        version = (self.kept().agg(F.max("version")).first()[0] or 0) + 1
+        mark = F.when(index.valid_name(F.col("name")), F.lit(-1)).otherwise(F.raise_error(F.concat(F.lit("not an index name: "), F.col("name")))).cast("long")
+        marks = names.select("name").distinct().select("name", mark.alias("pos"), F.lit(None).cast("string").alias("id"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("size"))
+        rows = chunks.select("name", "pos", "id", "start", "size").union(marks)
+        rows.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(self.path)
 
     def index(self, *names: str) -> DataFrame:
-        out = self.spark.read.schema(INDEX_SCHEMA).parquet(self.path)
-        return out.where(F.col("name").isin(list(names))) if names else out
+        """The newest index of every name, or of these."""
+        out = self.kept()
+        out = out.where(F.col("name").isin(list(names))) if names else out
+        newest = out.where("pos < 0").groupBy("name").agg(F.max("version").alias("version"))
+        return out.where("pos >= 0").join(newest, ["name", "version"]).drop("version")
 
     def make(self, blobs: DataFrame) -> DataFrame:
         """Chunk blobs (name, data), store what is new, keep their indexes."""
         chunks = chunking.chunk_index(blobs, self.sizes, payload=True).persist()
         self.stores[0].add(chunks)
-        self.save(chunks)
+        self.save(chunks, blobs)
         chunks.unpersist()
         return self.index()
 
     def chop(self, blobs: DataFrame, *names: str, ignore: DataFrame | None = None) -> None:
         """Store the chunks of blobs that have an index, but for ignored ids; bytes that don't match raise."""
         parts = index.sliced(self.index(*names), blobs, "name")
-        if not parts.where(F.sha2("payload", 256) != F.col("id")).isEmpty():
+        if not parts.where(~self.same()).isEmpty():
             raise ValueError("a blob doesn't match its index")
         self.stores[0].add(stores.without(parts, *([ignore] if ignore is not None else [])))
 
@@ -121,20 +143,46 @@ class Engine:
             own = stores.has(s.rows(), ids)
             part = s.plain(own)
             if s is self.cache:
-                part = part.where(F.sha2("payload", 256) == F.col("id"))
+                part = part.where(self.same())
             part = part.withColumns({"store": F.lit(s.path), "priority": F.lit(k)})
             rows = part if rows is None else rows.union(part)
         return stores.routed(ids, rows, "payload")
 
-    def extract(self, *names: str) -> DataFrame:
-        """name and data of blobs; a chunk that is missing or damaged raises."""
+    def planned(self, *names: str, local: DataFrame, on_invalid: str = "skip") -> DataFrame:
+        """name, first, last, seed, seed_pos: which runs of these indexes come from local blobs (name, data) that have
+        indexes too. The plan is made over seeds that are what their indexes say (on_invalid: skip, or bail, which raises)."""
+        idx = self.index(*names)
+        of = index.sliced(self.index().join(local.select("name").distinct(), "name"), local, "name")
+        held = of.select(F.col("name").alias("seed"), F.col("pos").alias("seed_pos"), "id", self.same().alias("same"))
+        bad = held.where(~F.col("same")).select("seed").distinct()
+        if on_invalid == "bail" and not bad.isEmpty():
+            raise ValueError("a seed doesn't match its index")
+        held = held.join(bad, "seed", "left_anti").join(idx.select("name", "id").distinct(), "id")
+        return seeds.planned(idx, held.select("name", "seed", "seed_pos", "id"), "name")
+
+    def extract(self, *names: str, local: DataFrame | None = None, on_invalid: str = "skip") -> DataFrame:
+        """name and data of blobs; a chunk that is missing or damaged raises.
+
+        Chunks of zero bytes of the largest size are made, runs that local blobs hold (see planned) are taken from
+        there, and only the rest is fetched from the cache and the stores, each id once.
+        """
         idx = self.index(*names)
-        got = self.fetched(idx).select("id", "payload")
-        good = F.sha2("payload", 256) == F.col("id")
-        checked = got.withColumn("payload", F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("chunk missing or damaged: "), F.col("id")))))
+        null = chunking.null_id(self.sizes)
+        zeros = F.unhex(F.repeat(F.lit("00"), F.col("size").cast("int")))
+        parts = idx.where(F.col("id") == null).withColumn("payload", zeros)
+        rest = idx.where(F.col("id") != null)
+        if local is not None:
+            runs = self.planned(*names, local=local, on_invalid=on_invalid).where("seed is not null")
+            each = runs.select("name", "seed", F.explode(F.arrays_zip(F.sequence("first", "last").alias("pos"), F.sequence(F.col("seed_pos"), F.col("seed_pos") + F.col("last") - F.col("first")).alias("seed_pos"))).alias("at"))
+            of = index.sliced(self.index().join(local.select("name").distinct(), "name"), local, "name").select(F.col("name").alias("seed"), F.col("pos").alias("seed_pos"), "payload")
+            own = each.select("name", "seed", "at.pos", "at.seed_pos").join(of, ["seed", "seed_pos"]).select("name", "pos", "payload")
+            parts = parts.unionByName(rest.join(own, ["name", "pos"]).select(*parts.columns))
+            rest = rest.join(own.select("name", "pos"), ["name", "pos"], "left_anti")
+        got = self.fetched(rest).select("id", "payload")
+        checked = got.withColumn("payload", F.when(self.same(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("chunk missing or damaged: "), F.col("id")))))
         if self.cache:
             self.cache.add(checked)
-        return seeds.assembled(idx.join(checked, "id"), "name")
+        return seeds.assembled(parts.unionByName(rest.join(checked, "id").select(*parts.columns)), "name")
 
     def cat(self, name: str, offset: int = 0, length: int = 0) -> bytes:
         """Bytes of a blob from offset on (length 0: to the end); only the chunks that hold them are fetched."""
@@ -177,7 +225,7 @@ class Engine:
         idx, own = self.index(name), blobs.where(F.col("name") == name)
         size = own.select(F.octet_length("data")).first()
         end = idx.agg(F.max(F.col("start") + F.col("size"))).first()[0] or 0
-        return bool(size) and size[0] == end and index.invalid_chunks(idx, own, "name").isEmpty()
+        return bool(size) and size[0] == end and index.invalid_chunks(idx, own, "name", self.sizes.digest).isEmpty()
 
     def tar(self, nodes: DataFrame) -> DataFrame:
         """Pack trees (name, then the columns of a node) into archives, chunked and stored like any blob."""

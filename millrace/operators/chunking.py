@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +94,18 @@ def candidate_counts(df: DataFrame, sizes: Sizes) -> DataFrame:
     return df.select(*names, "data").mapInArrow(run, schema)
 
 
+def digest_of(data: Column, kind: str) -> Column:
+    """The id of a chunk's bytes: built in for SHA-256, an Arrow function for others (SHA512/256 is the index format's default)."""
+    if kind == "sha256":
+        return F.sha2(data, 256)
+
+    @F.pandas_udf("string")
+    def other(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: None if p is None else digest(bytes(p), kind))
+
+    return other(data)
+
+
 def null_id(sizes: Sizes) -> str:
     """The id of the largest chunk of zero bytes."""
     return digest(bytes(sizes.most), sizes.digest)

@@ -6,16 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.rolling import Sizes
+from millrace.operators.chunking import digest_of
 from millrace.sources.formats import SHA512_256, decode_index, encode_index
 
 
 def numbered(chunks: DataFrame, key: str, *order: str) -> DataFrame:
-    """One index for each key from the chunks of several blobs laid end to end in `order`: pos and start count on."""
+    """One index for each key from the chunks of several blobs laid end to end in `order`: pos and start count on.
+
+    All chunks of a key are one window; where chunks of a blob are numbered already, `laid_out` takes a window over blobs only.
+    """
     w = Window.partitionBy(key).orderBy(*order)
     running = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return chunks.select(key, (F.row_number().over(w) - 1).cast("long").alias("pos"), "id", F.coalesce(running, F.lit(0)).cast("long").alias("start"), "size")
 
 
+def laid_out(chunks: DataFrame, key: str, blob: str) -> DataFrame:
+    """numbered for chunks (key, blob, pos, id, start, size) whose pos and start count from their blob's begin: prefix
+    sums in two levels, so a window holds a row for each blob of a key, not for each chunk. chunks are read twice."""
+    totals = chunks.groupBy(key, blob).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    before = Window.partitionBy(key).orderBy(blob).rowsBetween(Window.unboundedPreceding, -1)
+    begin = totals.select(key, blob, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes"))
+    return chunks.join(begin, [key, blob]).select(key, (F.col("pos") + F.col("n")).alias("pos"), "id", (F.col("start") + F.col("bytes")).alias("start"), "size")
+
+
 def to_offsets(index: DataFrame, key: str) -> DataFrame:
     """start and size to the end offsets that index files hold."""
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -42,9 +55,9 @@ def sliced(index: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
     return index.join(blobs, key).withColumn("payload", F.substring(F.col("data"), (F.col("start") + 1).cast("int"), F.col("size").cast("int"))).drop("data")
 
 
-def invalid_chunks(index: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
-    """verify-index: rows whose bytes don't have the digest the index names (SHA-256 ids)."""
-    return sliced(index, blobs, key).where(F.sha2("payload", 256) != F.col("id")).drop("payload")
+def invalid_chunks(index: DataFrame, blobs: DataFrame, key: str, kind: str = "sha256") -> DataFrame:
+    """verify-index: rows whose bytes don't have the digest the index names."""
+    return sliced(index, blobs, key).withColumn("own", digest_of(F.col("payload"), kind)).where("own <> id").drop("payload", "own")
 
 
 def valid_name(name: Column) -> Column:

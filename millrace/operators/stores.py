@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.chunking import digest_of
+
 
 def has(ids: DataFrame, store: DataFrame) -> DataFrame:
     """Rows of ids whose chunk the store holds."""
@@ -45,9 +47,9 @@ def prune(store: DataFrame, referenced: DataFrame) -> tuple[DataFrame, DataFrame
     return lacks(store, referenced), has(store, referenced)
 
 
-def invalid(store: DataFrame) -> DataFrame:
+def invalid(store: DataFrame, kind: str = "sha256") -> DataFrame:
     """Chunks whose payload is missing or doesn't have the digest it is stored under."""
-    return store.where(F.col("payload").isNull() | (F.sha2("payload", 256) != F.col("id")))
+    return store.withColumn("own", digest_of(F.col("payload"), kind)).where("own is null or own <> id").drop("own")
 
 
 def routed(ids: DataFrame, stores: DataFrame, *payload: str) -> DataFrame:

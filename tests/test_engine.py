@@ -41,7 +41,7 @@ def test_commands(spark, tmp_path):
     through.extract("a").collect()
     assert {x.id for x in cache.rows().collect()} == set(e.list_chunks("b")) | set(e.list_chunks("a"))
 
-    assert store.verify() == []
+    assert store.verify().isEmpty()
     gone = {x.id for x in e.prune("a", "zero").collect()}
     assert gone == set(e.list_chunks("b")) - set(e.list_chunks("a")) - set(e.list_chunks("zero"))
     assert bytes(e.extract("a").first().data) == files["a"]
@@ -54,7 +54,47 @@ def test_commands(spark, tmp_path):
 
     broken = Store(spark, str(tmp_path / "broken"), compress=False)
     broken.add(spark.createDataFrame([("0" * 64, b"not this"), (e.list_chunks("a")[0], files["a"][: e.index("a").where("pos = 0").first().size])], "id string, payload binary"))
-    assert broken.verify(repair=True) == ["0" * 64] and broken.verify() == [] and broken.rows().count() == 1
+    assert [x.id for x in broken.verify(repair=True).collect()] == ["0" * 64] and broken.verify().isEmpty() and broken.rows().count() == 1
+
+
+def test_a_second_make_replaces_an_index(spark, tmp_path):
+    r = random.Random(5)
+    e = Engine(spark, str(tmp_path / "i"), Store(spark, str(tmp_path / "s")), sizes=SMALL)
+    row = lambda *x: spark.createDataFrame([(n, bytearray(d)) for n, d in x], "name string, data binary")
+    old, new, other = r.randbytes(260), r.randbytes(900), r.randbytes(700)
+    e.make(row(("x", old), ("y", other)))
+    e.make(row(("x", new)))
+    assert {x.name: bytes(x.data) for x in e.extract().collect()} == {"x": new, "y": other}
+    e.make(row(("x", b"")))
+    assert e.index("x").isEmpty() and [x.name for x in e.extract().collect()] == ["y"]
+    with pytest.raises(Exception, match="not an index name"):
+        e.make(row(("../x", old)))
+
+
+@pytest.mark.parametrize("kind", ["sha256", "sha512_256"])
+def test_extract_takes_what_local_blobs_hold(spark, tmp_path, kind):
+    r = random.Random(6)
+    shared = r.randbytes(9000)
+    files = {"old": shared + r.randbytes(800), "bad": shared + r.randbytes(50), "new": r.randbytes(300) + shared + bytes(4096) + r.randbytes(400)}
+    store = Store(spark, str(tmp_path / "s"), digest=kind)
+    e = Engine(spark, str(tmp_path / "i"), store, sizes=Sizes(64, 256, 1024, digest=kind))
+    blobs = spark.createDataFrame([(n, bytearray(d)) for n, d in files.items()], "name string, data binary")
+    e.make(blobs)
+    assert store.verify().isEmpty() and e.verify_index(blobs, "new")
+    broken = F.when(F.col("name") == "bad", F.reverse("data")).otherwise(F.col("data"))
+    local = blobs.where("name <> 'new'").withColumn("data", broken)
+    plan = e.planned("new", local=local).where("seed is not null").collect()
+    assert plan and {p.seed for p in plan} == {"old"}  # a seed that isn't what its index says is left out
+    with pytest.raises(ValueError, match="doesn't match"):
+        e.planned("new", local=local, on_invalid="bail")
+    # Only what is in no seed and not null is left in the store.
+    need = {x.id for x in e.index("new").collect()} - {x.id for x in e.index("old").collect()}
+    only = Store(spark, str(tmp_path / "only"), digest=kind)
+    only.add(store.plain().where(F.col("id").isin(list(need))))
+    few = Engine(spark, str(tmp_path / "i"), only, sizes=e.sizes)
+    assert bytes(few.extract("new", local=local).first().data) == files["new"]
+    with pytest.raises(Exception, match="missing"):
+        few.extract("new").collect()
 
 
 def test_archives(spark, tmp_path):
