@@ -98,6 +98,11 @@ SELECT t.source, t.total, t.size, u.* EXCLUDE (source) FROM
         "info_seed_cache": info(True, True, False),
         "info_compressed": info(True, True, True),
         "dedup_store": f"{ch} SELECT id, min(size) AS size FROM ch GROUP BY id",
+        "index_names": r"""
+            WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path FROM pages), n AS (SELECT page_id, path, regexp_extract(path, '([^/]*)/?$', 1) AS name FROM p)
+            SELECT page_id, name NOT IN ('', '.', '..') AND NOT contains(name, '/') AND NOT contains(name, '\') AS part, path NOT IN ('', '.', '..') AND NOT contains(path, '/') AND NOT contains(path, '\') AS whole FROM n""",
+        "get_chunks": f"WITH RECURSIVE {chunk_ctes(sizes)} SELECT id, any_value(size) + CASE WHEN id >= '8' THEN 1 ELSE 0 END AS size, id < '8' AS valid FROM ch WHERE lang <> 'en' GROUP BY id",
+        "sparse_state": f"{idx} SELECT source, pos FROM idx WHERE size >= 256",
         "chop_ignore": f"{firsts} SELECT DISTINCT id FROM ch WHERE id NOT IN (SELECT id FROM popular)",
         "cache_copy_plan": f"{firsts} SELECT DISTINCT c.id, c.id IN (SELECT id FROM packed) AS found FROM ch c WHERE c.id NOT IN (SELECT id FROM popular) AND c.id NOT IN (SELECT id FROM ch WHERE lang = 'en')",
         "prune_deleted": f"{firsts} SELECT DISTINCT id FROM ch WHERE id NOT IN (SELECT id FROM ch WHERE lang = 'en')",

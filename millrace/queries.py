@@ -11,6 +11,7 @@ from millrace.functions import codecs, paths
 from millrace.functions.rolling import Sizes
 from millrace.operators import archive, chunking, index, info, ranges, seeds, stores
 from millrace.oracles import oracles
+from millrace.plans.scratch import stored
 
 SIZES = Sizes(64, 256, 1024, digest="sha256")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +35,18 @@ def chunks(spark: SparkSession, sf_dir: str, *keys: str, payload: bool = False)
     return chunking.chunk_index(document_blobs(spark, sf_dir, *keys), SIZES, payload=payload)
 
 
+def kept_chunks(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """chunks, cut once and written: for queries that read them several times."""
+    return stored(chunks(spark, sf_dir, *keys), "chunks")
+
+
 def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, pos, id, start, size."""
-    return index.numbered(chunks(spark, sf_dir, "source"), "source", "doc_id", "pos")
+    return index.laid_out(kept_chunks(spark, sf_dir, "source"), "source", "doc_id")
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(source_index(spark, sf_dir), "index")
 
 
 def popular(c: DataFrame) -> DataFrame:
@@ -122,13 +132,14 @@ def list_chunks(spark, sf_dir):
 
 @query
 def inspect_chunks(spark, sf_dir):
-    return info.inspected(source_index(spark, sf_dir), packed(chunks(spark, sf_dir)).withColumnRenamed("compressed_size", "stored_size"))
+    c = kept_chunks(spark, sf_dir, "source")
+    return info.inspected(index.laid_out(c, "source", "doc_id"), packed(c).withColumnRenamed("compressed_size", "stored_size"))
 
 
 def info_query(name: str, seed: bool, cache: bool, known: bool) -> None:
     def run(spark, sf_dir):
-        c = chunks(spark, sf_dir, "source", "lang")
-        idx = index.numbered(c, "source", "doc_id", "pos")
+        c = kept_chunks(spark, sf_dir, "source", "lang")
+        idx = index.laid_out(c, "source", "doc_id")
         store = c.where("lang in ('en', 'de')").select("id").distinct()
         return info.info(idx, "source", earlier_ids(idx) if seed else None, popular(c) if cache else None, store, packed(c) if known else None)
 
@@ -151,25 +162,25 @@ def dedup_store(spark, sf_dir):
 
 @query
 def chop_ignore(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = kept_chunks(spark, sf_dir)
     return stores.without(c.select("id").distinct(), popular(c))
 
 
 @query
 def cache_copy_plan(spark, sf_dir):
-    c = chunks(spark, sf_dir, "lang")
+    c = kept_chunks(spark, sf_dir, "lang")
     return stores.copy_plan(c, [popular(c)], c.where("lang = 'en'"), packed(c))
 
 
 @query
 def prune_deleted(spark, sf_dir):
-    c = chunks(spark, sf_dir, "lang")
+    c = kept_chunks(spark, sf_dir, "lang")
     return stores.prune(c.select("id").distinct(), c.where("lang = 'en'"))[0]
 
 
 @query
 def prune_kept(spark, sf_dir):
-    c = chunks(spark, sf_dir, "lang")
+    c = kept_chunks(spark, sf_dir, "lang")
     return stores.prune(c.select("id").distinct(), c.where("lang = 'en'"))[1]
 
 
@@ -201,24 +212,24 @@ def router_lookup(spark, sf_dir):
 
 @query
 def cache_lookup(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = kept_chunks(spark, sf_dir)
     return stores.cached(c, popular(c), packed(c))
 
 
 @query
 def cache_repair(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = kept_chunks(spark, sf_dir)
     return stores.cached(c, popular(c).withColumn("valid", F.col("id") < "8"), packed(c), repair=True)
 
 
 def source_seeds(idx: DataFrame) -> DataFrame:
-    """Every index may be rebuilt from those named before it."""
+    """Every index may be rebuilt from those named before it: the seeds' rows whose ids it holds, found by equal ids."""
     s = idx.select(F.col("source").alias("seed"), F.col("pos").alias("seed_pos"), "id")
-    return idx.select("source").distinct().join(s, F.col("seed") < F.col("source"))
+    return idx.select("source", "id").distinct().join(s, "id").where("seed < source").select("source", "seed", "seed_pos", "id")
 
 
 def source_runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    idx = source_index(spark, sf_dir)
+    idx = kept_index(spark, sf_dir)
     return idx, seeds.runs(idx, source_seeds(idx), "source")
 
 
@@ -234,7 +245,7 @@ def seed_best(spark, sf_dir):
 
 
 def source_plan(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    idx = source_index(spark, sf_dir)
+    idx = kept_index(spark, sf_dir)
     return idx, seeds.planned(idx, source_seeds(idx), "source")
 
 
@@ -359,4 +370,29 @@ def goodbye_order(spark, sf_dir):
     return archive.goodbye_order(table(spark, sf_dir, "pages").select(path.alias("dir"), name.alias("name")).where("name <> ''"), "dir")
 
 
+@query
+def index_names(spark, sf_dir):
+    """Which last parts of pages' paths, and whole paths, may name an index."""
+    path = F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    name = F.regexp_extract(path, "([^/]*)/?$", 1)
+    return table(spark, sf_dir, "pages").select("page_id", index.valid_name(name).alias("part"), index.valid_name(path).alias("whole"))
+
+
+@query
+def get_chunks(spark, sf_dir):
+    """All chunks asked of a store that has those of documents that aren't English, from id 8... on damaged."""
+    c = chunks(spark, sf_dir, "lang", payload=True)
+    broken = F.when(F.col("id") >= "8", F.concat("payload", F.lit(b"\0"))).otherwise(F.col("payload"))
+    held = c.where("lang <> 'en'").select("id", broken.alias("payload")).dropDuplicates(["id"])
+    return stores.fetched(c, held).select("id", F.octet_length("payload").cast("long").alias("size"), "valid")
+
+
+@query
+def sparse_state(spark, sf_dir):
+    """A sparse copy's state, saved as bits and read back."""
+    idx = kept_index(spark, sf_dir).select("source", "pos", "size")
+    state = ranges.saved_state(idx, idx.where("size >= 256"), "source")
+    return ranges.loaded_state(state, idx, "source")
+
+
 ORACLES = oracles(SIZES)
