@@ -80,9 +80,15 @@ def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := f"{x} {k}") not in taken) for x in names]
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs without the rows that bad (doc_id, text_hash) names; all columns kept, whatever their names."""
-    names = ["bad doc_id", "bad text_hash"]
+    names = fresh(docs, "doc of", "hash of")
     bad = bad.select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(f"`{names[0]}`")) & (text_hash(docs["text"]) == F.col(f"`{names[1]}`")), "left_anti")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, salted, slices, stored, text_hash, texts
+from millrace.llm.common import checkpointed, fresh, salted, slices, stored, text_hash, texts
 from millrace.plans.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -189,10 +189,11 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     rows without doc_id.
     """
     found = grouped(docs, 4, 4).where("doc_id is not null")
-    row = F.struct(F.col("doc_id").alias("keep doc_id"), F.col("text_hash").alias("keep text_hash"))
+    own, key = fresh(docs, "doc of", "hash of")
+    row = F.struct(F.col("doc_id").alias(own), F.col("text_hash").alias(key))
     keep = stored(found.groupBy("component").agg(F.min(row).alias("row")).select("row.*"), "survivors")
     twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    out = docs.join(keep, (docs["doc_id"] == F.col("`keep doc_id`")) & (text_hash(docs["text"]) == F.col("`keep text_hash`")), "left_semi")
+    out = docs.join(keep, (docs["doc_id"] == F.col(f"`{own}`")) & (text_hash(docs["text"]) == F.col(f"`{key}`")), "left_semi")
     if not twice.isEmpty():  # rows alike in id and text: any one of them
-        out = out.withColumn("keep text_hash", text_hash(docs["text"])).dropDuplicates(["doc_id", "keep text_hash"]).drop("keep text_hash")
+        out = out.withColumn(key, text_hash(docs["text"])).dropDuplicates(["doc_id", key]).drop(key)
     return out.union(docs.where("doc_id is null"))
