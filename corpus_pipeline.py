@@ -11,23 +11,28 @@ from millrace.llm.common import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the toxicity classifier scores 0.5 or more; each row is judged by its own text (null: empty)."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with recurring lines taken out of text and n_chars counted anew; no document goes, null texts stay null."""
     out = linetemplates.without_recurring_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one row of each group of near duplicates; rows without doc_id stay."""
     return simhash.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold benchmark windows on one word in twenty or more."""
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids (see packing.pack); empty texts are their end id."""
     return packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -44,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn on documents, each written to the shared folder and read again; an empty table gives no rows."""
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         out = stored(stage(spark, out, sf_dir), name.replace(" ", "-"))
