@@ -149,7 +149,7 @@ def occurrences(index: DataFrame, windows: DataFrame, most: int = 200_000) -> Da
     and at most about `most` windows; beyond that they are dealt to several.
     """
     terms = windows.select("window", F.explode(F.split(F.col("window").cast("string"), " ")).alias("term")).distinct().withColumn("term", F.col("term").cast("binary"))
-    wanted = stored(index.where("term is not null").select("block", "term", "places").join(terms.select("term").distinct(), "term"), "wanted", **INDEX_OPTIONS)
+    wanted = stored(salted(index.where("term is not null").select("block", "term", "places"), terms.select("term").distinct(), ["term"], "block", 8), "wanted", **INDEX_OPTIONS)
     known = wanted.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
     rarest = terms.join(known, "term", "left").groupBy("window").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.min(F.col("n").isNotNull()).alias("all")).where("all")
     parts = -(-max(windows.count(), 1) // most)
