@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import bounded_batches, stored
 
 TREE_SCHEMA = "dim int, ids array<long>, points array<long>, begins array<int>, ends array<int>, lefts array<int>, lows array<long>, highs array<long>"
 
@@ -54,33 +54,62 @@ class Tree:
         return {"dim": points.shape[1], "ids": ids[order], "points": points[order].ravel(), "begins": begins, "ends": ends, "lefts": lefts, "lows": flat(lows), "highs": flat(highs)}
 
 
+SHARD_BYTES = 16 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, points) of at most `most` rows of one dimension; a task never holds more than SHARD_BYTES of points beyond a row."""
+    held: dict[int, tuple[list, list]] = {}
+    size = 0
+
+    def taken(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal size
+        ids, points = held.pop(dim)
+        size -= 8 * dim * len(ids)
+        return np.array(ids, np.int64), np.concatenate(points).reshape(len(ids), dim)
+
+    for b in batches:
+        v, ids = b.column("v"), b.column("vec_id").to_pylist()
+        at, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, x, y in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = held.setdefault(y - x, ([], []))
+            own[0].append(i)
+            own[1].append(flat[x:y])
+            size += 8 * (y - x)
+            if len(own[0]) >= most:
+                yield taken(y - x)
+            if size >= SHARD_BYTES:
+                for dim in list(held):
+                    yield taken(dim)
+    for dim in list(held):
+        yield taken(dim)
+
+
+def rows_of(columns: dict, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v if c == "dim" else np.asarray(v)], k) for (c, v), k in zip(columns.items(), kinds, strict=True)], list(columns))
+
+
 def build(vectors: DataFrame, shard: int = 16_384, leaf: int = 128) -> DataFrame:
-    """KD-trees over the quantised vectors, a row for each shard of at most `shard` rows of one dimension, built where the rows are read."""
+    """KD-trees over the quantised vectors, a row for each shard of one dimension, of at most `shard` rows and about SHARD_BYTES, built where the rows are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-
-        def tree(dim: int) -> pa.RecordBatch:
-            ids, points = held.pop(dim)
-            row = Tree.built(np.array(ids, np.int64), np.concatenate(points).reshape(len(ids), dim), leaf)
-            kinds = [pa.int32(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 3, *[pa.list_(pa.int64())] * 2]
-            return pa.record_batch([pa.array([v if c == "dim" else np.asarray(v)], k) for (c, v), k in zip(row.items(), kinds, strict=True)], list(row))
-
-        for b in batches:
-            v, ids = b.column("v"), b.column("vec_id").to_pylist()
-            at, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, x, y in zip(ids, at[:-1], at[1:], strict=True):
-                own = held.setdefault(int(y - x), ([], []))
-                own[0].append(i)
-                own[1].append(flat[x:y])
-                if len(own[0]) >= shard:
-                    yield tree(int(y - x))
-        for dim in list(held):
-            yield tree(dim)
+        for ids, points in gathered(batches, shard):
+            yield rows_of(Tree.built(ids, points, leaf), [pa.int32(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 3, *[pa.list_(pa.int64())] * 2])
 
+    bounded_batches(vectors.sparkSession)
     return vectors.mapInArrow(run, TREE_SCHEMA)
 
 
+def blocks(queries: DataFrame, block: int) -> DataFrame:
+    """dim, ids and points: a row for each block of at most `block` queries of one dimension and about SHARD_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, points in gathered(batches, block):
+            yield rows_of({"dim": points.shape[1], "ids": ids, "points": points.ravel()}, [pa.int32(), *[pa.list_(pa.int64())] * 2])
+
+    return queries.mapInArrow(run, "dim int, ids array<long>, points array<long>")
+
+
 class Best:
     """The k best (score, id) pairs of one query so far: higher scores, then smaller ids; a pair counts once."""
 
@@ -139,56 +168,65 @@ def descend(tree: Tree, query: np.ndarray, own: int, upper: np.ndarray, best: Be
         best.offer(scores[other], ids[other])
 
 
-def search(trees: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each task's shards for each query, the k-th pair carried from shard to shard."""
-    ids = [i for i, _ in queries]
-    vectors = [np.array(v, np.int64) for _, v in queries]
+def searched(trees: list[Tree], ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+    """query_id, vec_id, score: the k best of these trees for each query of a block, the k-th pair carried from tree to tree."""
+    best = [Best(k) for _ in ids]
+    own = ids.tolist()
+    for tree in trees:
+        for at in range(0, len(vectors), 1024):
+            q = vectors[at : at + 1024]
+            # A box's bound: each component at the side that gives more.
+            upper = products(tree.highs, np.maximum(q, 0)) + products(tree.lows, np.minimum(q, 0))
+            for j in range(len(q)):
+                descend(tree, q[j], own[at + j], upper[:, j], best[at + j])
+    found = [(own[n], -i, s) for n, b in enumerate(best) for s, i in b.heap]
+    columns = list(zip(*found, strict=True)) if found else [(), (), ()]
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+
+def search(trees: DataFrame, queries: DataFrame, k: int, groups: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each of `groups` groups of trees for each query.
+
+    The trees are dealt to the groups by a hash and shuffled once; the blocks of queries are repeated for each group.
+    In its partition a group's trees come first and are held, then its blocks of queries stream past them.
+    """
+    names = ["dim", "ids", "points", "begins", "ends", "lefts", "lows", "highs"]
+    lacking = [F.lit(None).cast(trees.schema[c].dataType).alias(c) for c in names[3:]]
+    a = trees.select(F.pmod(F.xxhash64("ids", "points"), F.lit(groups)).cast("int").alias("part"), F.lit(0).alias("asks"), *names)
+    b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(1).alias("asks"), *names[:3], *lacking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [Best(k) for _ in ids]
-        by_dim: dict[int, list[int]] = {}
-        for n, v in enumerate(vectors):
-            by_dim.setdefault(len(v), []).append(n)
+        part, held = None, {}
         for batch in batches:
             for row in range(batch.num_rows):
-                dim = batch.column("dim")[row].as_py()
-                if dim not in by_dim:
-                    continue
-                tree = Tree(dim, *(batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in batch.schema.names[1:]))
-                for at in range(0, len(by_dim[dim]), 1024):
-                    some = by_dim[dim][at : at + 1024]
-                    q = np.stack([vectors[n] for n in some])
-                    # A box's bound: each component at the side that gives more.
-                    upper = products(tree.highs, np.maximum(q, 0)) + products(tree.lows, np.minimum(q, 0))
-                    for j, n in enumerate(some):
-                        descend(tree, vectors[n], ids[n], upper[:, j], best[n])
-        found = [(ids[n], -i, s) for n, b in enumerate(best) for s, i in b.heap]
-        columns = list(zip(*found, strict=True)) if found else [(), (), ()]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    return trees.mapInArrow(run, "query_id long, vec_id long, score long")
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 16_384) -> DataFrame:
+                now, dim = batch.column("part")[row].as_py(), batch.column("dim")[row].as_py()
+                if now != part:
+                    part, held = now, {}
+                columns = [batch.column(c)[row].values for c in names[1:]]
+                if batch.column("asks")[row].as_py() == 0:
+                    held.setdefault(dim, []).append(Tree(dim, *(c.to_numpy(zero_copy_only=False).copy() for c in columns)))
+                elif dim in held:
+                    ids, points = (c.to_numpy(zero_copy_only=False) for c in columns[:2])
+                    yield searched(held[dim], ids, points.reshape(len(ids), dim), k)
+
+    return a.union(b).repartition(groups, "part").sortWithinPartitions("part", "asks").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 16_384, span: int = 4) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k highest inner products over all vectors but its own id.
 
-    vectors, queries: vec_id and embedding. Ties go to the smaller vec_id. The trees are written once; queries are
-    taken in blocks of `block` rows, each sent to the tasks that read the trees, and each task returns k rows for a
-    query. Vectors that are null or hold a null or a number that isn't finite take no part, nor do null ids; vectors
-    of different lengths are never compared; rows that repeat (id and vector) count once; of queries that share an
-    id the smallest vector is taken; with fewer than k candidates all are returned; empty tables give no rows.
+    vectors, queries: vec_id and embedding. Ties go to the smaller vec_id. The trees are written once and dealt to
+    groups of `span` on average (fewer while there are not enough for all cores); queries stay in Spark, in blocks of
+    `block` rows, which meet every group; each group returns k rows for a query. Neither trees nor queries pass
+    through the driver. Vectors that are null or hold a null or a number that isn't finite take no part, nor do null
+    ids; vectors of different lengths are never compared; rows that repeat (id and vector) count once; of queries
+    that share an id the smallest vector is taken; with fewer than k candidates all are returned; empty tables give
+    no rows.
     """
     trees = stored(build(quantised(vectors)), "trees")
-    asked = quantised(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    parts, held = [], []
-    for r in asked.orderBy("vec_id").toLocalIterator():
-        held.append((r.vec_id, r.v))
-        if len(held) == block:
-            parts.append(search(trees, held, k))
-            held = []
-    parts.append(search(trees, held, k))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    n = trees.count()
+    groups = max(1, -(-n // span), min(n, vectors.sparkSession.sparkContext.defaultParallelism))
+    asked = stored(blocks(quantised(queries).groupBy("vec_id").agg(F.min("v").alias("v")), block), "queries")
+    found = search(trees, asked, k, groups).repartition("query_id").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.distinct().withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
