@@ -187,12 +187,12 @@ def searched(trees: list[Tree], ids: np.ndarray, vectors: np.ndarray, k: int) ->
 def search(trees: DataFrame, queries: DataFrame, k: int, groups: int) -> DataFrame:
     """query_id, vec_id, score: the k best of each of `groups` groups of trees for each query.
 
-    The trees are dealt to the groups by a hash and shuffled once; the blocks of queries are repeated for each group.
+    The trees are shuffled once, by their column part; the blocks of queries are repeated for each group.
     In its partition a group's trees come first and are held, then its blocks of queries stream past them.
     """
     names = ["dim", "ids", "points", "begins", "ends", "lefts", "lows", "highs"]
     lacking = [F.lit(None).cast(trees.schema[c].dataType).alias(c) for c in names[3:]]
-    a = trees.select(F.pmod(F.xxhash64("ids", "points"), F.lit(groups)).cast("int").alias("part"), F.lit(0).alias("asks"), *names)
+    a = trees.select("part", F.lit(0).alias("asks"), *names)
     b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(1).alias("asks"), *names[:3], *lacking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def search(trees: DataFrame, queries: DataFrame, k: int, groups: int) -> DataFra
                     ids, points = (c.to_numpy(zero_copy_only=False) for c in columns[:2])
                     yield searched(held[dim], ids, points.reshape(len(ids), dim), k)
 
-    return a.union(b).repartition(groups, "part").sortWithinPartitions("part", "asks").mapInArrow(run, "query_id long, vec_id long, score long")
+    return a.union(b).repartitionById(groups, "part").sortWithinPartitions("part", "asks").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 16_384, span: int = 4) -> DataFrame:
@@ -223,10 +223,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 16_3
     that share an id the smallest vector is taken; with fewer than k candidates all are returned; empty tables give
     no rows.
     """
-    trees = stored(build(quantised(vectors)), "trees")
-    n = trees.count()
+    # A tree's place: the task that built it and its number there, fixed once written.
+    trees = stored(build(quantised(vectors)).withColumn("place", F.monotonically_increasing_id()), "trees")
+    task, nth = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    n, most = trees.agg(F.count("*"), F.coalesce(F.max(nth) + 1, F.lit(1))).first()
     groups = max(1, -(-n // span), min(n, vectors.sparkSession.sparkContext.defaultParallelism))
     asked = stored(blocks(quantised(queries).groupBy("vec_id").agg(F.min("v").alias("v")), block), "queries")
-    found = search(trees, asked, k, groups).repartition("query_id").distinct()
+    dealt = trees.withColumn("part", F.pmod(task * most + nth, F.lit(groups)).cast("int"))
+    found = search(dealt, asked, k, groups).repartition("query_id").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
