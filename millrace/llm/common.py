@@ -93,11 +93,11 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(f"`{names[0]}`")) & (text_hash(docs["text"]) == F.col(f"`{names[1]}`")), "left_anti")
 
 
-def salted(large: DataFrame, small: DataFrame, on: list[str], by: str, ways: int = 16) -> DataFrame:
+def salted(large: DataFrame, small: DataFrame, on: list[str], by: str, ways: int = 16, how: str = "inner") -> DataFrame:
     """large joined with small on `on`; rows of a hot key of large are dealt to `ways` tasks by the column `by`, small is repeated."""
     a = large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(ways)))
     b = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    return a.join(b, [*on, "salt"]).drop("salt")
+    return a.join(b, [*on, "salt"], how).drop("salt")
 
 
 def give_back() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed
+from millrace.llm.common import checkpointed, salted
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*+=\s*+["']?(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'>\s]++)"""
@@ -88,4 +88,4 @@ def filter_urls(pages: DataFrame, rules=RULES, least: float = 0.1) -> DataFrame:
     by_share = propagated(hosts, links, shares=True).select("host", F.col("distrust").alias("share"))
     scores = propagated(hosts, links).join(by_share, "host")
     method = F.when((F.col("share") >= least) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return parsed.drop("html").join(scores, "host", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return salted(parsed.drop("html"), scores, ["host"], "page_id", how="left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
