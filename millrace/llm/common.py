@@ -100,6 +100,24 @@ def salted(large: DataFrame, small: DataFrame, on: list[str], by: str, ways: int
     return a.join(b, [*on, "salt"], how).drop("salt")
 
 
+def dealt(large: DataFrame, small: DataFrame, on: str, by: str, buckets: int = 1 << 16, most: int = 1024) -> DataFrame:
+    """large joined with small on the column `on`, of which small holds each value once, and large any number of times.
+
+    Rows of large are counted in `buckets` buckets of values (so the counts have a bound and are broadcast). Those of a
+    bucket with far more than its share are dealt by the column `by` to as many tasks as it holds shares, `most` at
+    most, and small's rows of that bucket are repeated as often; all others meet once, unrepeated.
+    """
+    bucket = F.pmod(F.xxhash64(on), F.lit(buckets))
+    counts = checkpointed(large.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")))
+    share = max(256, 4 * (counts.agg(F.sum("n")).first()[0] or 0) // buckets)
+    ways = F.broadcast(counts.where(F.col("n") > share).select("bucket", F.least(F.ceil(F.col("n") / share), F.lit(most)).cast("long").alias("ways")))
+    n = F.coalesce("ways", F.lit(1).cast("long"))
+    a, b = (t.withColumn("bucket", bucket).join(ways, "bucket", "left") for t in (large, small))
+    a = a.withColumn("salt", F.pmod(F.xxhash64(by), n)).drop("bucket", "ways")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("bucket", "ways")
+    return a.join(b, [on, "salt"]).drop("salt")
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on, and what they no longer use others need."""
     pa.default_memory_pool().release_unused()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, fresh, salted, slices, stored, text_hash, texts
+from millrace.llm.common import checkpointed, dealt, fresh, salted, slices, stored, text_hash, texts
 from millrace.plans.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -162,7 +162,8 @@ def grouped(docs: DataFrame, size: int, most: int) -> DataFrame:
     linked = nodes.join(of, "fp")
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = salted(linked, roots, ["component"], "fp").select("fp", "component", "component_id")
-    out = fps.where("doc_id is not null").join(named, "fp", "left").join(nodes, "fp")
+    # One fingerprint may stand over a third of all rows.
+    out = dealt(fps.where("doc_id is not null"), nodes.join(named, "fp", "left"), "fp", "doc_id")
     out = out.select("doc_id", "text_hash", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
     none = F.lit(None).cast("long")
     return out.union(fps.where("doc_id is null").select("doc_id", "text_hash", "fp", none, none))

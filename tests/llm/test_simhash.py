@@ -70,3 +70,15 @@ def test_chain_of_links_is_one_group(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (700, 700)], "a long, b long")
     got = {r.node: r.component for r in components(chain, checkpointed).collect()}
     assert got == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
+
+
+def test_hot_keys_are_dealt_and_whole(spark):
+    from millrace.llm.common import dealt
+
+    rows = [(k % 3000 if k < 3000 else 7, k) for k in range(9000)]
+    large = spark.createDataFrame(rows, "key long, id long").repartition(4)
+    small = spark.createDataFrame([(k, -k) for k in range(2500)], "key long, other long")
+    for buckets in (1 << 16, 8):
+        got = sorted((r.key, r.id, r.other) for r in dealt(large, small, "key", "id", buckets).collect())
+        assert got == sorted((k, i, -k) for k, i in rows if k < 2500)
+    assert dealt(large.where("false"), small, "key", "id").count() == 0
