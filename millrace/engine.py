@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import codecs
 from millrace.functions.rolling import Sizes
-from millrace.operators import archive, chunking, index, info, ranges, seeds, stores
+from millrace.operators import archive, chunking, index, info, ranged, ranges, seeds, stores
 from millrace.sources.formats import Node
 
 STORE_SCHEMA = "id string, size long, stored_size long, data binary, generation int"
@@ -120,11 +120,19 @@ class Engine:
         newest = out.where("pos < 0").groupBy("name").agg(F.max("version").alias("version"))
         return out.where("pos >= 0").join(newest, ["name", "version"]).drop("version")
 
-    def make(self, blobs: DataFrame) -> DataFrame:
-        """Chunk blobs (name, data), store what is new, keep their indexes."""
-        chunks = chunking.chunk_index(blobs, self.sizes, payload=True).persist()
+    def make(self, blobs: DataFrame | str) -> DataFrame:
+        """Chunk blobs (name, data) or the files at a path, which may have any size, store what is new, keep their indexes."""
+        if isinstance(blobs, str):
+            name = F.element_at(F.split("path", "/"), -1).alias("name")
+            chunks = ranged.chunk_files(self.spark, blobs, self.sizes, payload=True).select(name, "pos", "start", "size", "id", "payload")
+            names = ranged.files(self.spark, blobs).select(name)
+            if names.count() > names.distinct().count():
+                raise ValueError(f"several files at {blobs} have one name")
+        else:
+            chunks, names = chunking.chunk_index(blobs, self.sizes, payload=True), blobs
+        chunks.persist()
         self.stores[0].add(chunks)
-        self.save(chunks, blobs)
+        self.save(chunks, names)
         chunks.unpersist()
         return self.index()
 

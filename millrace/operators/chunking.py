@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.rolling import Sizes, candidates, cut, digest
 
-PART = 64 << 20
+PART, BLOCK = 64 << 20, 4 << 20
 
 
 def blobs(df: DataFrame, data: Column, *keys: str) -> DataFrame:
@@ -22,12 +22,12 @@ def blobs(df: DataFrame, data: Column, *keys: str) -> DataFrame:
 
 def places(data: bytes, sizes: Sizes) -> list[int]:
     """Candidates of one blob; a large one in parts that overlap by the window, which bounds memory."""
-    if len(data) <= PART:
+    if len(data) <= BLOCK:
         return candidates(np.frombuffer(data, np.uint8), sizes).tolist()
     out: list[int] = []
-    for at in range(0, len(data), PART):
+    for at in range(0, len(data), BLOCK):
         begin = max(0, at - 47)
-        out += [p for p in (candidates(np.frombuffer(data, np.uint8, min(at + PART, len(data)) - begin, begin), sizes) + begin).tolist() if p >= at]
+        out += [p for p in (candidates(np.frombuffer(data, np.uint8, min(at + BLOCK, len(data)) - begin, begin), sizes) + begin).tolist() if p >= at]
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import codecs, paths
 from millrace.functions.rolling import Sizes
-from millrace.operators import archive, chunking, index, info, ranges, seeds, stores
+from millrace.operators import archive, chunking, index, info, ranged, ranges, seeds, stores
 from millrace.oracles import oracles
 from millrace.plans.scratch import stored
 
@@ -81,6 +81,13 @@ def chunk_index(spark, sf_dir):
     return chunks(spark, sf_dir)
 
 
+@query
+def chunk_files(spark, sf_dir):
+    """The documents' own files, cut by byte ranges at the default sizes."""
+    c = ranged.chunk_files(spark, f"{sf_dir}/documents.parquet", Sizes(digest="sha256"))
+    return c.select(F.element_at(F.split("path", "/"), -1).alias("name"), "pos", "start", "size", "id")
+
+
 @query
 def chunk_advance(spark, sf_dir):
     return chunking.chunk_index(document_blobs(spark, sf_dir), SIZES, begin=100)

@@ -71,6 +71,23 @@ def test_a_second_make_replaces_an_index(spark, tmp_path):
         e.make(row(("../x", old)))
 
 
+def test_files_of_any_size_are_made_by_ranges(spark, tmp_path):
+    r = random.Random(9)
+    files = {"big": r.randbytes(20000), "none": b"", "zero": bytes(3000)}
+    (tmp_path / "in" / "more").mkdir(parents=True)
+    for n, d in files.items():
+        (tmp_path / "in" / n).write_bytes(d)
+    e = Engine(spark, str(tmp_path / "index"), Store(spark, str(tmp_path / "store")), sizes=SMALL)
+    e.make(str(tmp_path / "in"))
+    by_ranges = sorted(map(tuple, e.index().select("name", "pos", "id", "start", "size").collect()))
+    e.make(e.blobs(str(tmp_path / "in")))
+    assert by_ranges == sorted(map(tuple, e.index().select("name", "pos", "id", "start", "size").collect()))
+    assert {x.name: bytes(x.data) for x in e.extract().collect()} == {n: d for n, d in files.items() if d}
+    (tmp_path / "in" / "more" / "big").write_bytes(b"another of this name")
+    with pytest.raises(ValueError, match="one name"):
+        e.make(str(tmp_path / "in"))
+
+
 @pytest.mark.parametrize("kind", ["sha256", "sha512_256"])
 def test_extract_takes_what_local_blobs_hold(spark, tmp_path, kind):
     r = random.Random(6)
