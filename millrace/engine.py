@@ -158,7 +158,7 @@ class Engine:
 
     def planned(self, *names: str, local: DataFrame, on_invalid: str = "skip") -> DataFrame:
         """name, first, last, seed, seed_pos: which runs of these indexes come from local blobs (name, data) that have
-        indexes too. The plan is made over seeds that are what their indexes say (on_invalid: skip, or bail, which raises)."""
+        indexes too, and which are zeros (seed_pos -1). The plan is made over seeds that are what their indexes say (on_invalid: skip, or bail, which raises)."""
         idx = self.index(*names)
         of = index.sliced(self.index().join(local.select("name").distinct(), "name"), local, "name")
         held = of.select(F.col("name").alias("seed"), F.col("pos").alias("seed_pos"), "id", self.same().alias("same"))
@@ -166,7 +166,7 @@ class Engine:
         if on_invalid == "bail" and not bad.isEmpty():
             raise ValueError("a seed doesn't match its index")
         held = held.join(bad, "seed", "left_anti").join(idx.select("name", "id").distinct(), "id")
-        return seeds.planned(idx, held.select("name", "seed", "seed_pos", "id"), "name")
+        return seeds.planned(idx, held.select("name", "seed", "seed_pos", "id"), "name", null_id=chunking.null_id(self.sizes))
 
     def extract(self, *names: str, local: DataFrame | None = None, on_invalid: str = "skip") -> DataFrame:
         """name and data of blobs; a chunk that is missing or damaged raises.

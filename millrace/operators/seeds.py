@@ -38,7 +38,7 @@ def best_seed(found: DataFrame, target: DataFrame, key: str) -> DataFrame:
     ends = target.select(key, F.col("pos").alias("end_pos"), (F.col("start") + F.col("size")).alias("end"))
     sized = found.withColumn("end_pos", F.col("pos") + F.col("n") - 1).join(ends, [key, "end_pos"]).join(target.select(key, "pos", "start"), [key, "pos"])
     sized = sized.withColumn("bytes", F.col("end") - F.col("start"))
-    w = Window.partitionBy(key, "pos").orderBy(F.col("bytes").desc(), "seed")
+    w = Window.partitionBy(key, "pos").orderBy(F.col("bytes").desc(), F.col("seed").asc_nulls_first())
     return sized.withColumn("place", F.row_number().over(w)).where("place = 1").select(key, "pos", "seed", "seed_pos", "n", "bytes")
 
 
@@ -66,8 +66,8 @@ def plan(best: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 
 def sources(planned: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """target's rows with origin: seed, self (a chunk the index had before) or store."""
-    each = planned.where("seed is not null").select(key, F.explode(F.sequence("first", "last")).alias("pos"), F.lit(True).alias("seeded"))
+    """target's rows with origin: seed (zeros too), self (a chunk the index had before) or store."""
+    each = planned.where("seed is not null or seed_pos = -1").select(key, F.explode(F.sequence("first", "last")).alias("pos"), F.lit(True).alias("seeded"))
     again = F.row_number().over(Window.partitionBy(key, "id").orderBy("pos")) > 1
     out = F.when(F.col("seeded"), "seed").when(F.col("again"), "self").otherwise("store")
     return target.withColumn("again", again).join(each, [key, "pos"], "left").withColumn("origin", out).drop("again", "seeded")
@@ -91,10 +91,18 @@ def invalid_seeds(planned: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
     return seeds.join(used, [key, "seed", "seed_pos"]).where(F.sha2("payload", 256) != F.col("id")).select(key, "seed").distinct()
 
 
-def planned(target: DataFrame, seeds: DataFrame, key: str, limit: int | None = LIMIT, on_invalid: str = "bail") -> DataFrame:
-    """The plan over valid seeds. seeds may hold payload; on_invalid: bail (raise) or skip (plan again without them)."""
+def planned(target: DataFrame, seeds: DataFrame, key: str, limit: int | None = LIMIT, on_invalid: str = "bail", null_id: str | None = None) -> DataFrame:
+    """The plan over valid seeds. seeds may hold payload; on_invalid: bail (raise) or skip (plan again without them).
+
+    With null_id, zeros are a seed of their own before all others, so of equally long runs theirs counts: such a
+    segment has no seed and seed_pos -1.
+    """
     while True:
-        out = plan(best_seed(runs(target, seeds, key, limit), target, key), target, key)
+        found = runs(target, seeds, key, limit)
+        if null_id is not None:
+            zeros = {"seed": F.lit(None).cast(found.schema["seed"].dataType), "seed_pos": F.lit(-1).cast(found.schema["seed_pos"].dataType)}
+            found = found.unionByName(null_runs(target, key, null_id, limit).withColumns(zeros))
+        out = plan(best_seed(found, target, key), target, key)
         if "payload" not in seeds.columns:
             return out
         bad = invalid_seeds(out, seeds, key)

@@ -55,6 +55,12 @@ RUNS = """
     SELECT s.source, s.pos, s.n, s.seed, s.seed_pos FROM plan p JOIN steps s ON s.source = p.source AND s.pos = p.first + p.n
   )"""
 
+NULL_IDX = IDX.replace("AS pos, id,", "AS pos, CASE WHEN id < '1' THEN '0' ELSE id END AS id,")
+
+NULL_RUNS = RUNS.replace("  runs AS (", """  nil AS (SELECT source, pos, pos - row_number() OVER (PARTITION BY source ORDER BY pos) AS island FROM idx WHERE id = '0'),
+  runs AS (SELECT source, pos, CAST(NULL AS VARCHAR) AS seed, CAST(-1 AS BIGINT) AS seed_pos, least(max(pos) OVER (PARTITION BY source, island) - pos + 1, 100) AS n FROM nil UNION ALL
+           """).replace("DESC, r.seed)", "DESC, r.seed NULLS FIRST)")
+
 
 def oracles(sizes: Sizes) -> dict[str, str]:
     ch = "WITH RECURSIVE" + chunk_ctes(sizes)
@@ -115,6 +121,7 @@ SELECT t.source, t.total, t.size, u.* EXCLUDE (source) FROM
         "seed_runs": f"{seeds} SELECT source, pos, seed, seed_pos, n FROM runs",
         "seed_best": f"{seeds} SELECT source, pos, seed, seed_pos, n, bytes FROM best",
         "seed_plan": f"{seeds} SELECT source, first, first + n - 1 AS last, seed, seed_pos FROM plan",
+        "seed_plan_null": f"{ch},{NULL_IDX},{NULL_RUNS} SELECT source, first, first + n - 1 AS last, seed, seed_pos FROM plan",
         "self_seed": f"{idx} SELECT source, pos, id FROM idx QUALIFY row_number() OVER (PARTITION BY source, id ORDER BY pos) > 1",
         "extract_stats": f"""{seeds},
   cov AS (SELECT source, unnest(range(first, first + n)) AS pos FROM plan WHERE seed IS NOT NULL),

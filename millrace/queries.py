@@ -261,6 +261,13 @@ def seed_plan(spark, sf_dir):
     return source_plan(spark, sf_dir)[1]
 
 
+@query
+def seed_plan_null(spark, sf_dir):
+    """The plan where a sixteenth of the ids stand for zeros, which are made before any seed is read."""
+    idx = stored(source_index(spark, sf_dir).withColumn("id", F.when(F.col("id") < "1", "0").otherwise(F.col("id"))), "index")
+    return seeds.planned(idx, source_seeds(idx), "source", null_id="0")
+
+
 @query
 def null_runs(spark, sf_dir):
     """Blobs of zero bytes, a chunk of 1,024 for every 50 characters of an item and one more, chunked like any other."""

@@ -242,11 +242,14 @@ def test_self_seed(spark, text):
     assert (r.bytes_from_self, r.bytes_from_store, r.chunks_from_seeds) == (copies * 1024, (len(ids) - copies) * 1024, 0)
 
 
-def walk(target, of, limit):
-    """The reference rule, walked: (first, last, seed, seed_pos)."""
+def walk(target, of, limit, null=None):
+    """The rule, walked: (first, last, seed, seed_pos); zeros come before all seeds."""
     at, out = 0, []
     while at < len(target):
-        best = (0, 1, None, None)
+        n = 0
+        while n < limit and at + n < len(target) and target[at + n] == null:
+            n += 1
+        best = (n * 10, n, None, -1) if n else (0, 1, None, None)
         for s in sorted(of):
             found = (0, None)
             for j, x in enumerate(of[s]):
@@ -273,7 +276,12 @@ def test_plan_equals_the_walk(spark, case):
     idx = spark.createDataFrame([(1, p, i, 10 * p, 10) for p, i in enumerate(target)], "k int, pos long, id string, start long, size long")
     s = spark.createDataFrame([(1, n, p, i) for n, ids in of.items() for p, i in enumerate(ids)], "k int, seed string, seed_pos long, id string")
     limit = (100, 3)[case % 2]
-    assert sorted(map(tuple, seeds.planned(idx, s, "k", limit).select("first", "last", "seed", "seed_pos").collect())) == walk(target, of, limit)
+    for null in (None, "a"):
+        plan = seeds.planned(idx, s, "k", limit, null_id=null)
+        want = walk(target, of, limit, null)
+        assert sorted(map(tuple, plan.select("first", "last", "seed", "seed_pos").collect())) == want
+        seeded = sum(last - first + 1 for first, last, _, pos in want if pos is not None)
+        assert seeds.extract_stats(seeds.sources(plan, idx, "k"), "k").first().chunks_from_seeds == seeded
 
 
 def test_invalid_seeds(spark):
