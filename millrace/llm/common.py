@@ -86,18 +86,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(n for k in range(len(taken) + 1) if (n := f"{x} {k}") not in taken) for x in names]
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df as a side of a join that meets the other one by a shuffle: what grows with the input isn't broadcast through the driver, however small Spark takes it for."""
+    return df.hint("merge")
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs without the rows that bad (doc_id, text_hash) names; all columns kept, whatever their names."""
     names = fresh(docs, "doc of", "hash of")
     bad = bad.select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(f"`{names[0]}`")) & (text_hash(docs["text"]) == F.col(f"`{names[1]}`")), "left_anti")
+    return docs.join(unsent(bad), docs["doc_id"].eqNullSafe(F.col(f"`{names[0]}`")) & (text_hash(docs["text"]) == F.col(f"`{names[1]}`")), "left_anti")
 
 
 def salted(large: DataFrame, small: DataFrame, on: list[str], by: str, ways: int = 16, how: str = "inner") -> DataFrame:
     """large joined with small on `on`; rows of a hot key of large are dealt to `ways` tasks by the column `by`, small is repeated."""
     a = large.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(ways)))
     b = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    return a.join(b, [*on, "salt"], how).drop("salt")
+    return a.join(unsent(b), [*on, "salt"], how).drop("salt")
 
 
 def dealt(large: DataFrame, small: DataFrame, on: str, by: str, buckets: int = 1 << 16, most: int = 1024) -> DataFrame:
@@ -115,7 +120,7 @@ def dealt(large: DataFrame, small: DataFrame, on: str, by: str, buckets: int = 1
     a, b = (t.withColumn("bucket", bucket).join(ways, "bucket", "left") for t in (large, small))
     a = a.withColumn("salt", F.pmod(F.xxhash64(by), n)).drop("bucket", "ways")
     b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("bucket", "ways")
-    return a.join(b, [on, "salt"]).drop("salt")
+    return a.join(unsent(b), [on, "salt"]).drop("salt")
 
 
 def give_back() -> None:

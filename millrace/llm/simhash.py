@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, dealt, fresh, salted, slices, stored, text_hash, texts
+from millrace.llm.common import checkpointed, dealt, fresh, salted, slices, stored, text_hash, texts, unsent
 from millrace.plans.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -150,7 +150,7 @@ def links(nodes: DataFrame, most: int = 4) -> DataFrame:
     few = [(e[a] <= 1) & (e[b] <= 1) for a, b in PAIRS]
     first = F.when(few[0], 0).when(few[1], 1).when(few[2], 2).when(e[0] == 0, 3).when(e[1] == 0, 4).otherwise(5)
     on = (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.bit_count(apart) <= min(most, 4)) & (F.shiftright(x["key"], 40) == first)
-    return x.join(y, on).select("x", "y").distinct()
+    return x.join(unsent(y), on).select("x", "y").distinct()
 
 
 def grouped(docs: DataFrame, size: int, most: int) -> DataFrame:
@@ -159,11 +159,11 @@ def grouped(docs: DataFrame, size: int, most: int) -> DataFrame:
     nodes = checkpointed(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
     # Fingerprints are the nodes: a doc_id may stand over texts that have nothing to do with one another.
     of = checkpointed(components(links(nodes, most).select(F.col("x").alias("a"), F.col("y").alias("b")), checkpointed).withColumnRenamed("node", "fp"))
-    linked = nodes.join(of, "fp")
+    linked = nodes.join(unsent(of), "fp")
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = salted(linked, roots, ["component"], "fp").select("fp", "component", "component_id")
     # One fingerprint may stand over a third of all rows.
-    out = dealt(fps.where("doc_id is not null"), nodes.join(named, "fp", "left"), "fp", "doc_id")
+    out = dealt(fps.where("doc_id is not null"), nodes.join(unsent(named), "fp", "left"), "fp", "doc_id")
     out = out.select("doc_id", "text_hash", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
     none = F.lit(None).cast("long")
     return out.union(fps.where("doc_id is null").select("doc_id", "text_hash", "fp", none, none))
@@ -194,7 +194,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     row = F.struct(F.col("doc_id").alias(own), F.col("text_hash").alias(key))
     keep = stored(found.groupBy("component").agg(F.min(row).alias("row")).select("row.*"), "survivors")
     twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    out = docs.join(keep, (docs["doc_id"] == F.col(f"`{own}`")) & (text_hash(docs["text"]) == F.col(f"`{key}`")), "left_semi")
+    out = docs.join(unsent(keep), (docs["doc_id"] == F.col(f"`{own}`")) & (text_hash(docs["text"]) == F.col(f"`{key}`")), "left_semi")
     if not twice.isEmpty():  # rows alike in id and text: any one of them
         out = out.withColumn(key, text_hash(docs["text"])).dropDuplicates(["doc_id", key]).drop(key)
     return out.union(docs.where("doc_id is null"))

@@ -6,7 +6,7 @@ import xxhash
 
 from millrace.llm import simhash as S
 
-from .conftest import edge_rows
+from .conftest import edge_rows, sentence
 
 
 def plain_fingerprint(text):
@@ -82,3 +82,19 @@ def test_hot_keys_are_dealt_and_whole(spark):
         got = sorted((r.key, r.id, r.other) for r in dealt(large, small, "key", "id", buckets).collect())
         assert got == sorted((k, i, -k) for k, i in rows if k < 2500)
     assert dealt(large.where("false"), small, "key", "id").count() == 0
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """Spark's own choice would send these tables through the driver: they are small here, but grow with the documents."""
+    rows = [(k, sentence(k % 40, 60) + f" tail{k % 3}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    groups = {r.component_id for r in S.near_duplicates(docs).collect()}
+    assert len(groups) < 120 and S.without_near_duplicates(docs).count() == len(groups)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList(int(before), int(store.executionsCount() - before))
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())]
+    keys = {re.sub(r"#\d+L?", "", x) for p in plans for x in re.findall(r"BroadcastHashJoin[^\n]*\n[^\n]*\n?Left keys \[\d+\]: \[([^\]]*)\]", p)}
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans)
+    assert keys <= {"bucket"}  # the counts of hot buckets, which have a bound
