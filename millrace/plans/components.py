@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+WAYS = 16  # tasks that the neighbours of one node are dealt to
+
 
 def components(links: DataFrame, store: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
     """(node, component) of every linked node, component being its smallest reachable node, itself included.
@@ -22,7 +24,8 @@ def components(links: DataFrame, store: Callable[[DataFrame], DataFrame], most:
     for _ in range(most):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+        large = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(WAYS)).cast("int")).join(dealt.hint("merge"), ["u", "salt"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least.hint("merge"), "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct()
         edges = store(small)
