@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -44,6 +45,17 @@ def discard_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession, since: int | None = None) -> None:
+    """Free disk between the steps of a query: the shuffle files of what was written before, which stay until the driver
+    happens to collect its garbage, and the scratch tables from number `since` on, but for the last."""
+    for path in SCRATCH[since:-1] if since is not None else []:
+        SCRATCH.remove(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)

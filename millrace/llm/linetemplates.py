@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from millrace.llm.common import fresh, list_array, salted, slices, stored, text_hash, texts
+from millrace.llm.common import SCRATCH, fresh, let_go, list_array, salted, slices, stored, text_hash, texts, unsent
 
 DIGIT = re.compile("[0-9]")
 BLANK = "<*>"
@@ -177,8 +177,9 @@ def line_tokens(docs: DataFrame, leaves: DataFrame, depth: int, alike: float) ->
 def templates(docs: DataFrame, different: DataFrame, depth: int, alike: float) -> DataFrame:
     """leaf, line_hash, template: for the different whole lines of leaves that hold several, the group each generalises to.
 
-    A group has a leader, and its lines hold the leader's token at the share `alike` of places or more; what
-    differs is a variable field. Lines alike share a band (see bands_of), so a line is compared with the first few
+    A group has a leader, and its lines hold the leader's token at the share `alike` of places or more. Once the groups
+    stand, each generalises to a template, and groups and lines that are instances of one go with it (see
+    generalised). Lines alike share a band (see bands_of), so a line is compared with the first few
     lines of each of its bands, in rounds: of the lines found alike, those with no leader or line before them
     lead, those alike to a leader join the first such, and the others go on. A line leaves a band once all of
     the band was compared with it, and twice as many are compared in the next round, until no band holds two lines.
@@ -215,7 +216,36 @@ def templates(docs: DataFrame, different: DataFrame, depth: int, alike: float) -
         heads *= 2
     placed = [x for pair in zip(joined, made, strict=True) for x in pair]
     none = found.where(F.lit(False)).select("leaf", "line_hash", F.col("line_hash").alias("leader"))
-    return reduce(DataFrame.union, placed, none).withColumnRenamed("leader", "template")
+    return generalised(found.select("leaf", "line_hash", "tokens"), stored(reduce(DataFrame.union, placed, none), "placed"), alike)
+
+
+def generalised(lines: DataFrame, placed: DataFrame, alike: float) -> DataFrame:
+    """leaf, line_hash, template of the lines that go with a group: the leader of the most general template they are instances of.
+
+    lines: leaf, line_hash, tokens; placed: leaf, line_hash, leader of those in a group. A group's template has the token
+    that the share `alike` of its lines or more hold at a place, or else a variable field there; a line in no group is
+    its own template. One is an instance of another if it has all of its constants; only templates with constants
+    at half their places or more take instances. What is an instance of an instance is one itself, so one join finds
+    the most general template of each (fewest constants, then the smallest leader). Every line of a leaf is
+    read once for each different set of variable fields in it, never against each template.
+    """
+    grouped = lines.join(unsent(placed), ["leaf", "line_hash"])
+    held = grouped.select("leaf", "leader", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "leader", "place", "token").agg(F.count("*").alias("n"))
+    places = held.groupBy("leaf", "leader", "place").agg(F.sum("n").alias("n"), F.max(F.struct("n", "token")).alias("top"))
+    token = F.when(F.col("top.n") >= alike * F.col("n"), F.col("top.token")).alias("token")
+    shapes = places.select("leaf", "leader", F.struct("place", token).alias("x")).groupBy("leaf", "leader").agg(F.array_sort(F.collect_list("x")).alias("x")).select("leaf", "leader", F.col("x.token").alias("shape"))
+    alone = lines.join(unsent(placed.select("leaf", "line_hash")), ["leaf", "line_hash"], "left_anti")
+    shapes = stored(shapes.union(alone.select("leaf", "line_hash", "tokens")), "shapes", compression="zstd")
+    constants = F.size(F.filter("shape", lambda t: t.isNotNull()))
+    broad = shapes.where((constants < F.size("shape")) & (2 * constants >= F.size("shape")))
+    fields = broad.select("leaf", F.transform("shape", lambda t: t.isNull()).alias("fields")).distinct()
+    seen = salted(shapes, fields, ["leaf"], "leader", 4).select("leaf", "leader", F.zip_with("shape", "fields", lambda t, f: F.when(~f, t)).alias("seen"))
+    general = broad.select("leaf", F.col("shape").alias("seen"), F.struct(constants.alias("n"), F.col("leader").alias("leader")).alias("of"))
+    named = seen.join(unsent(general), ["leaf", "seen"]).groupBy("leaf", "leader").agg(F.min("of").alias("of")).select("leaf", "leader", F.col("of.leader").alias("template"))
+    named = stored(named, "named")
+    out = placed.join(unsent(named), ["leaf", "leader"], "left").select("leaf", "line_hash", F.coalesce("template", "leader").alias("template"))
+    single = alone.select("leaf", F.col("line_hash").alias("leader")).join(unsent(named), ["leaf", "leader"])
+    return out.union(single.select("leaf", F.col("leader").alias("line_hash"), "template"))
 
 
 def recurring(docs: DataFrame, depth: int = 3, alike: float = 0.8) -> DataFrame:
@@ -225,10 +255,12 @@ def recurring(docs: DataFrame, depth: int = 3, alike: float = 0.8) -> DataFrame:
     Lines are first reduced to the different ones, where they are read, so one that a third of all documents hold
     costs no task more than others; the templates that recur are then dealt to several tasks for each line.
     """
+    made = len(SCRATCH)
     lines = stored(line_records(docs, depth), "lines", compression="zstd")
     document = F.xxhash64("doc_id", "key")
     different = lines.groupBy("leaf", "line_hash").agg(F.max("whole").alias("whole"), F.min(document).alias("a"), F.max(document).alias("b"))
     different = stored(different, "different", compression="zstd")
+    let_go(docs.sparkSession)
     named = stored(templates(docs, different, depth, alike), "templates")
     # What is in no group and in one document alone goes no further.
     of = different.where("whole").join(named, ["leaf", "line_hash"])
@@ -236,6 +268,8 @@ def recurring(docs: DataFrame, depth: int = 3, alike: float = 0.8) -> DataFrame:
     groups = of.groupBy("leaf", "template").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("leaf", "template")
     again = salted(of.select("leaf", "line_hash", "template"), groups, ["leaf", "template"], "line_hash", 4)
     found = stored(salted(lines.drop("whole"), again, ["leaf", "line_hash"], "key", 8).select("leaf", "template", "doc_id", "key", "unit"), "recurring", compression="zstd")
+    del lines, different, named, of, groups, again
+    let_go(docs.sparkSession, made)  # the rest reads `found` alone
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("unit").alias("unit"))
     firsts = found.groupBy("leaf", "template").agg(F.min(place).alias("first"))
     drop = salted(found, firsts, ["leaf", "template"], "key", 8).where(~place.eqNullSafe(F.col("first")))

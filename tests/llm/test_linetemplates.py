@@ -91,6 +91,17 @@ def test_near_copies_get_one_template_at_any_group_size(spark, n):
     assert all(got[5000 + k] for k in range(3))
 
 
+def test_lines_join_the_template_that_a_group_generalises_to(spark):
+    fields, base = (5, 8, 11, 14, 17), [f"w{chr(97 + k)}" for k in range(20)]
+    line = lambda new: " ".join(new.get(j, w) for j, w in enumerate(base))
+    # Any two of these are alike, and each field differs in four of ten; the next ones are like none of them.
+    rows = [(k, line({fields[k % 5]: f"x{chr(97 + k)}", fields[(k + 1) % 5]: f"y{chr(97 + k)}"})) for k in range(10)]
+    rows += [(10 + k, line({j: f"z{chr(97 + k)}{chr(97 + j)}" for j in fields})) for k in range(3)]
+    rows += [(20, line({j: "other" for j in (*fields, 10)}))]  # the field at 10 is a constant
+    got = {r.doc_id: r.text for r in L.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sorted(k for k, t in got.items() if t) == [0, 20]
+
+
 def test_parts_are_cut_alike_wherever_they_stand():
     passage = "Once more the quiet ferry came over the water. No. It had been late for years on end! And so on, and so on it went."
     alone = [p.strip() for p, own in L.parts_of(passage) if own]
