@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to spark.checkpoint.dir and read it back: what several branches read is computed once, and survives lost executors.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """The path of a new table in spark.checkpoint.dir.
 
     Where the session names no folder, a temporary one serves if all runs on this machine; else that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df to spark.checkpoint.dir and read it back: what several branches read is computed once, and survives lost executors."""
+    path = path or scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession, path: str) -> None:
+    """Free disk between the steps of a query: a table that isn't read any more, and the shuffle files of what was
+    written before, which stay until the driver happens to collect its garbage."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()

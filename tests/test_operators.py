@@ -299,6 +299,44 @@ def test_zeros_meet_only_next_to_other_matches(spark, limit):
     assert "r" in {x.seed for x in seeds.runs(idx, s, "k", limit).collect()}
 
 
+def shuffled(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("null", [None, "0"])
+def test_copies_are_not_paired(spark, null):
+    n = 1500
+    target = [x for k in range(n) for x in ("a", "b", "0", f"t{k}")]
+    seed = [x for k in range(n) for x in ("a", f"s{k}", "0", "b")] + ["a", "b", "0", "a"]
+    idx = spark.createDataFrame([(1, p, i, 10 * p, 10) for p, i in enumerate(target)], "k int, pos long, id string, start long, size long")
+    s = spark.createDataFrame([(1, "p", p, i) for p, i in enumerate(seed) if i in "ab0"], "k int, seed string, seed_pos long, id string")
+    before = shuffled(spark)
+    got = {(r.pos, r.seed_pos, r.n) for r in seeds.runs(idx, s, "k", null_id=null).collect()}
+    assert shuffled(spark) - before < 20 * len(target)  # n times n pairs of a alone
+    want = {0: (4 * n, 3), 1: (4 * n + 1, 2), 2: (2, 1)}
+    assert {x for x in got if target[x[0]] != "0"} == {(p, *want[p % 4]) for p in range(4 * n) if p % 4 < 2}
+    assert null or {x for x in got if target[x[0]] == "0"} == {(p, *want[2]) for p in range(2, 4 * n, 4)}
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_runs_over_block_ends(spark, case, monkeypatch):
+    import random
+
+    r = random.Random(case)
+    limit = (7, 20)[case % 2]
+    monkeypatch.setattr(seeds, "BLOCK", 8)
+    target = [r.choice("000ab") for _ in range(90)]
+    of = {s: [r.choice("0ab") for _ in range(20)] + target[30:75] for s in "pq"}
+    idx = spark.createDataFrame([(1, p, i, 10 * p, 10) for p, i in enumerate(target)], "k int, pos long, id string, start long, size long")
+    s = spark.createDataFrame([(1, n, p, i) for n, ids in of.items() for p, i in enumerate(ids)], "k int, seed string, seed_pos long, id string")
+    for null in (None, "0"):
+        assert sorted(map(tuple, seeds.planned(idx, s, "k", limit, null_id=null).select("first", "last", "seed", "seed_pos").collect())) == walk(target, of, limit, null)
+
+
 def test_invalid_seeds(spark):
     data = [b"a", b"b", b"c"]
     idx = spark.createDataFrame([(1, p, sha(d), p, 1) for p, d in enumerate(data)], "k int, pos long, id string, start long, size long")
